@@ -170,11 +170,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Rules:
     return fit(x, np.array([r["y"] for r in rows], float))
 
 
-def score(docs: DataFrame, model: Rules) -> DataFrame:
-    """docs with score: 0 to 1, higher where label 1 is likelier.
+def score(docs: DataFrame, model: Rules, into: str = "score") -> DataFrame:
+    """docs with the column `into`: 0 to 1, higher where label 1 is likelier.
 
     Null and empty texts have statistics of zero and a score like any other; ids and other columns play no part, nulls and
     repeated rows stay as they are. An empty table gives none. The whole text counts.
     """
     small_batches(docs.sparkSession)
-    return docs.withColumn("_statistics", statistics("text")).withColumn("score", model.column("_statistics")).drop("_statistics")
+    return docs.withColumn("_statistics", statistics("text")).withColumn(into, model.column("_statistics")).drop("_statistics")

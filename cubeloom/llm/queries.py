@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, mixing, packing, quality, simhash, toxicity
+import corpus_pipeline
+
+from . import html, licenses, media, mixing, packing, quality, search, simhash, toxicity, warc
 from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
@@ -61,3 +66,63 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), search.whole_units(F.col("embedding")).alias("vector"))
+    found = search.top_k(vectors.where("id % 50 = 0"), vectors)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page is a capture at the time page_id. A URL with a query string was asked for with validators and counts as a
+    revisit; the entity tag is made of the canonical URL and of whether the html's length is odd."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    asked = F.coalesce(F.contains("url", F.lit("?")), F.lit(False))
+    tag = F.concat(F.lit('"'), F.md5(F.coalesce(warc.canonical(F.col("url")), F.lit(""))), F.lit("-"), (F.length(F.coalesce("html", F.lit(""))) % 2).cast("string"), F.lit('"'))
+    records = pages.select(
+        F.col("page_id").alias("id"), "url", F.col("page_id").alias("at"), F.when(asked, "revisit").otherwise("response").alias("kind"),
+        F.when(asked, 304).otherwise(200).alias("status"),
+        F.when(asked, F.create_map(F.lit("ETag"), tag, F.lit("Date"), F.col("page_id").cast("string"), F.lit("Server"), F.lit("edge")))
+        .otherwise(F.create_map(F.lit("ETag"), tag, F.lit("Date"), F.col("page_id").cast("string"), F.lit("Content-Type"), F.lit("text/html"))).alias("headers"),
+        F.when(asked, None).otherwise(F.md5("html")).alias("digest"),
+    )
+    done = warc.resolve(records, stretch=4096)
+    said = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return done.select(F.col("id").alias("page_id"), "canonical_url", "kind", "outcome", "refers_to", said.alias("headers"))
+
+
+@query
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.main_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+SQL["op9_warc"] = r"""
+WITH bare AS (
+  SELECT page_id, url, html, contains(coalesce(url, ''), '?') AS asked,
+         regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest
+  FROM pages),
+parts AS (
+  SELECT *, regexp_replace(lower(regexp_extract(rest, '^[^/?]*', 0)), '^(?:[^@]*@)?(?:www\.)?|:(?:80|443)$', '', 'g') AS host,
+         regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+         regexp_replace(regexp_replace(regexp_extract(rest, '\?(.*)$', 1), '(^|&)(?:utm_[a-z]+|ref|fbclid|gclid|sessionid)=[^&]*', '', 'g'), '^&+', '') AS query
+  FROM bare),
+named AS (
+  SELECT page_id, asked, CASE WHEN url IS NULL THEN NULL ELSE host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canonical_url,
+         length(coalesce(html, '')) % 2 AS odd
+  FROM parts),
+tagged AS (SELECT *, '"' || md5(coalesce(canonical_url, '')) || '-' || odd || '"' AS tag FROM named),
+joined AS (
+  SELECT r.*, b.page_id AS base_id, b.tag AS base_tag
+  FROM tagged r ASOF LEFT JOIN (SELECT * FROM tagged WHERE NOT asked AND canonical_url IS NOT NULL) b
+    ON r.canonical_url = b.canonical_url AND r.page_id > b.page_id)
+SELECT page_id, canonical_url, CASE WHEN asked THEN 'revisit' ELSE 'response' END AS kind,
+       CASE WHEN NOT asked THEN 'response' WHEN base_id IS NULL THEN 'missing' WHEN tag = base_tag THEN 'resolved' ELSE 'mismatch' END AS outcome,
+       CASE WHEN asked AND tag = base_tag THEN base_id END AS refers_to,
+       CASE WHEN NOT asked OR (asked AND tag = base_tag) THEN 'content-type=text/html;date=' || page_id || ';etag=' || tag
+            ELSE 'date=' || page_id || ';etag=' || tag || ';server=edge' END AS headers
+FROM joined
+"""

@@ -268,11 +268,11 @@ def score_column(text: str | Column, model: Model) -> Column:
     return scored(text)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score: 0 to 1, higher where label 1 is likelier.
+def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
+    """docs with the column `into`: 0 to 1, higher where label 1 is likelier.
 
     Null and empty texts score as texts without any landmark. Words of more than 32 letters are read in overlapping
     pieces; the whole text counts. Other columns play no part; nulls and repeated rows stay. An empty table gives none.
     """
     small_batches(docs.sparkSession)
-    return docs.withColumn("score", score_column("text", model))
+    return docs.withColumn(into, score_column("text", model))
