@@ -68,12 +68,10 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 def row_id(docs: DataFrame) -> DataFrame:
     """Add _file and _row, which name a row of the files that docs reads, the same in every scan of them; of other frames, positions in its partitions."""
-    try:
+    hidden = docs._jdf.queryExecution().analyzed().metadataOutput().mkString(" ")
+    if "_metadata" in hidden and all(str(f).lower().split("?")[0].rstrip("/").endswith(".parquet") for f in docs.inputFiles()[:1]):
         return docs.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    except Exception as e:
-        if "UNRESOLVED_COLUMN" not in str(e) and "metadata" not in str(e):
-            raise
-        return docs.select("*", F.lit(0).cast("long").alias("_file"), F.monotonically_increasing_id().alias("_row"))
+    return docs.select("*", F.lit(0).cast("long").alias("_file"), F.monotonically_increasing_id().alias("_row"))
 
 
 def fold(doc_id: Column, n: int) -> Column:

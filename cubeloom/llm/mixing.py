@@ -4,8 +4,9 @@ Each document of a source gets the same real number of copies, target / source s
 fraction is rounded by the pivotal method: two fractional documents meet, mass moves from one to the other, in words,
 until one of them is integral, the direction drawn so that expectations stand. The words of a source are thus kept
 exactly in each meeting. A source's documents are dealt to bounded chunks which run apart, largest document first; the
-one residual of each chunk goes up a reduction tree. At its root the last residual of the larger documents is rounded
-alone and the words this adds or takes are spread over the shares of the smaller ones, which then meet in turn.
+one residual of each chunk, a small document, goes up a reduction tree. Within a chunk the last residual of the larger
+documents is rounded alone and the words this adds or takes are spread over the shares of the smaller ones, which meet in
+turn.
 """
 
 from __future__ import annotations
@@ -83,11 +84,12 @@ def pivotal(size: np.ndarray, share: np.ndarray, draws: np.ndarray) -> tuple[np.
     return share, at
 
 
-def settle(size: np.ndarray, share: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """Round all shares, sizes descending: the larger documents meet first, their last residual is rounded by its draw.
+def settle(size: np.ndarray, share: np.ndarray, draws: np.ndarray, whole: bool = True) -> np.ndarray:
+    """Round shares, sizes descending: the larger documents meet first, their last residual is rounded by its draw.
 
     What that adds or takes is spread over the smaller documents' shares, which settle in the same way, so that the words
-    of the whole stray by about the size of a small document. The spread has mean zero; expectations stand.
+    of the whole stray by about the size of a small document. The spread has mean zero; expectations stand. Without
+    `whole` the very last residual, a small document, stays fractional.
     """
     share, low, n = share.copy(), 0, len(size)
     while low < n:
@@ -95,7 +97,7 @@ def settle(size: np.ndarray, share: np.ndarray, draws: np.ndarray) -> np.ndarray
         cut = low + max(1, int(np.searchsorted(-tail, -3 * size[low], side="right")) - 1) if n - low > 3 else n
         cut = min(cut, n) if cut > low + 1 or n - low <= 3 else low + max(1, (n - low) // 3)
         share[low:cut], at = pivotal(size[low:cut], share[low:cut], draws[low:cut])
-        if at >= 0:
+        if at >= 0 and (whole or cut < n):
             at += low
             owed = share[at] * size[at]
             share[at] = float(draws[at] < share[at])
@@ -139,7 +141,7 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float
     whole = F.floor(F.col("copies") + 1e-12)
     rows = rows.select("*", whole.cast("long").alias("whole"), F.greatest(F.col("copies") - whole, F.lit(0.0)).alias("share"))
     rows = rows.withColumn("share", F.when((F.col("share") < 1e-12) | (F.col("size") == 0), 0.0).otherwise(F.col("share")))
-    chunk = F.pmod(F.xxhash64("_key", "_row"), F.ceil(F.col("n") / CHUNK))
+    chunk = F.pmod(F.xxhash64("_key"), F.ceil(F.col("n") / CHUNK))  # by content alone, so that reruns over other files agree
     rows = rows.select("doc_id", "source", "size", "source_size", "target", "whole", "share", "_key", "_file", "_row", chunk.cast("long").alias("chunk"))
     level, groups, done = 0, math.ceil((sums["most"] or 0) / CHUNK), None
     now = rows
@@ -161,13 +163,10 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float
 def _meet(rows: DataFrame, seed: int, level: int, last: bool) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "_key", "_row"], ascending=[False, True, True], kind="stable")
-        draws = _draw(seed, level, rows["_key"].to_numpy(np.int64) ^ rows["_row"].to_numpy(np.int64))
+        draws = _draw(seed, level, rows["_key"].to_numpy(np.int64) + rows.groupby("_key").cumcount().to_numpy(np.int64))
         size, share = rows["size"].to_numpy(float), rows["share"].to_numpy(float).copy()
         open_ = np.nonzero((share > 0) & (share < 1))[0]
-        if last:
-            share[open_] = settle(size[open_], share[open_], draws[open_])
-        else:
-            share[open_], _ = pivotal(size[open_], share[open_], draws[open_])
+        share[open_] = settle(size[open_], share[open_], draws[open_], whole=last)
         return rows.assign(share=share)
 
     return rows.groupBy("source", "chunk").applyInPandas(run, rows.schema)
