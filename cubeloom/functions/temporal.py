@@ -109,12 +109,8 @@ def guess_period(times: list[datetime]) -> str | None:
                     n = int(s // size)
                     return f"{n if n > 1 else ''}{unit}"
             return None
-    if len(jumps) == 1:
-        n = jumps.pop()
-        if n > 0 and n % 12 == 0:
-            return f"{n // 12 if n > 12 else ''}YS"
-        if n > 0 and n % 3 == 0:
-            return f"{n // 3 if n > 3 else ''}QS"
-        if n > 0:
-            return f"{n if n > 1 else ''}MS"
+    for name, place in (("YS", [t.year for t in times]), ("QS", [m // 3 for m in months]), ("MS", months)):
+        apart = {b - a for a, b in zip(place, place[1:])}
+        if len(apart) == 1 and (n := apart.pop()) > 0:
+            return f"{n if n > 1 else ''}{name}"
     return None

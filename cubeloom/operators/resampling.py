@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from typing import Any
 
 import numpy as np
@@ -51,19 +52,24 @@ def downsample_2d(cells: DataFrame, shape: tuple[int, int], out: tuple[int, int]
 
 def upsample_2d(cells: DataFrame, shape: tuple[int, int], out: tuple[int, int], method: str = "linear", group: list[str] | None = None) -> DataFrame:
     """Cells on a grid no coarser, by the nearest cell or linearly; where a linear neighbour is missing, the value of the
-    neighbour of the greatest weight counts, null if that is missing."""
+    neighbour of the greatest weight counts (of equal ones the last), null if that is missing."""
     group = group or []
     if method not in UP:
         raise ValidationError(f"invalid upsampling method {method!r}")
     if out[0] < shape[0] or out[1] < shape[1]:
         raise ValidationError("the output must not be coarser than the input")
     spark, linear = cells.sparkSession, method == "linear"
-    wy, wx = table(spark, neighbours(shape[0], out[0], linear), ["oy", "iy", "wy"]), table(spark, neighbours(shape[1], out[1], linear), ["ox", "ix", "wx"])
-    met = cells.join(wy, "iy").join(wx, "ix").withColumn("w", F.col("wy") * F.col("wx"))
-    used = F.col("w") > 0
-    missing = F.count(F.when(used & F.col("v").isNull(), 1))
-    first = F.struct(-F.round(F.col("w"), 12), F.col("iy"), F.col("ix"))
-    value = F.when(missing == 0, F.sum(F.when(used, F.col("w") * F.col("v")))).otherwise(F.min_by("v", first))
+    # a neighbour counts even where its weight is zero; n is the number of neighbours that a full grid has
+    axes = []
+    for source, o in zip(shape, out):
+        rows = neighbours(source, o, linear)
+        many = Counter(r[0] for r in rows)
+        axes.append([(*r, many[r[0]]) for r in rows])
+    wy, wx = table(spark, axes[0], ["oy", "iy", "wy", "ny"]), table(spark, axes[1], ["ox", "ix", "wx", "nx"])
+    met = cells.join(wy, "iy").join(wx, "ix").withColumn("w", F.round(F.col("wy") * F.col("wx"), 12))
+    complete = F.count("v") == F.max(F.col("ny") * F.col("nx"))
+    heaviest = F.max(F.struct("w", "iy", "ix", "v"))["v"]
+    value = F.when(complete, F.sum(F.col("wy") * F.col("wx") * F.col("v"))).otherwise(heaviest)
     return met.groupBy(*group, F.col("oy").alias("iy"), F.col("ox").alias("ix")).agg(value.alias("v"))
 
 
