@@ -10,13 +10,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors reach; a temporary one only where none is set, as in tests."""
+    ship(spark)
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         context = spark.sparkContext
@@ -62,6 +66,7 @@ def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schem
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches of whole texts small, so that a Python worker's memory stays bounded."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
