@@ -72,9 +72,9 @@ class StorePool:
     def __init__(self, config: str | None = None) -> None:
         self.config = config
         self.stores: dict[str, Store] = {
-            "esa-cci": Store("esa-cci", "https:", True, title="remote service", essential=True, remote=True),
-            "esa-cci-zarr": Store("esa-cci-zarr", "s3:", True, title="remote cubes", essential=True, remote=True),
-            "esa-cci-kc": Store("esa-cci-kc", "reference:", True, title="remote references", essential=True, remote=True),
+            "remote": Store("remote", "https:", True, title="remote service", essential=True, remote=True),
+            "remote-zarr": Store("remote-zarr", "s3:", True, title="remote cubes", essential=True, remote=True),
+            "remote-references": Store("remote-references", "reference:", True, title="remote references", essential=True, remote=True),
         }
         self.output: str | None = None
         if config and os.path.exists(config):
