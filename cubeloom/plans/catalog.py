@@ -305,7 +305,7 @@ def tseries_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeseries.tseries_point(ev(spark, sf_dir), "-40.5, 10.2").df
 
 
-@query(f"SELECT round(avg(value), 3) AS value, 9.0 AS lat, -39.0 AS lon FROM {EV} WHERE lat = 9 AND lon = -39 GROUP BY lat, lon")
+@query(f"SELECT round(avg(value), 3) AS value, CAST(9 AS DOUBLE) AS lat, CAST(-39 AS DOUBLE) AS lon FROM {EV} WHERE lat = 9 AND lon = -39 GROUP BY lat, lon")
 def extract_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     cube = aggregate.reduce(ev(spark, sf_dir), dim="time", apply_spatial_weighting=False)
     found = subset.extract_point(cube, (-40.5, 10.2))
