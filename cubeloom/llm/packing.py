@@ -25,43 +25,79 @@ MOST_QUEUES, MOST_BROADCAST = 512, 50_000
 
 
 class Encoder:
-    """Token ids of texts. White space separates words for this tokenizer, so words are encoded once and kept, in bounded memory."""
+    """Token ids of texts. White space separates words for this tokenizer, so words are encoded once and kept, in bounded memory.
 
-    most = 300_000
+    A word's stem, without the marks that end it, is a piece of its own for the tokenizer if it ends in a letter; a stem
+    of letters only is one piece, and pieces end in a token with the end-of-word mark. So many stems are encoded as one text.
+    """
+
+    most = 500_000
+    marks = b".,;:!?*%&$#|"
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.wide = self.tokenizer.get_vocab_size() > 65_536
+        size = self.tokenizer.get_vocab_size()
+        self.wide = size > 65_536
+        self.kind = "<u4" if self.wide else "<u2"
+        self.ends = np.zeros(size + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.stems: dict[bytes, bytes | None] = {}
+
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in found]
+
+    def _learn(self, stems: list[bytes]) -> None:
+        """Ids of stems; None for those that a mark may join."""
+        letters, other = [], []
+        for s in stems:
+            text = s.decode("utf-8", "replace")
+            if not text or not text[-1].isalpha() or text[-1] > "ɏ":
+                self.stems[s] = None
+            else:
+                (letters if text.isalpha() else other).append((s, text))
+        for lo in range(0, len(letters), 5000):
+            some = letters[lo : lo + 5000]
+            ids = np.array(self.tokenizer.encode(" ".join([t for _, t in some]), add_special_tokens=False).ids, self.kind)
+            stops = np.nonzero(self.ends[ids])[0] + 1
+            if len(stops) != len(some):
+                other += some
+                continue
+            data, step, at = ids.tobytes(), ids.itemsize, 0
+            for (s, _), stop in zip(some, (stops * step).tolist()):
+                self.stems[s] = data[at:stop]
+                at = stop
+        if other:
+            self.stems.update(zip([s for s, _ in other], self._each([s for s, _ in other])))
 
     def _fresh(self, words: list[bytes]) -> None:
         if len(self.known) > self.most:
             self.known.clear()
         if len(self.stems) > self.most:
             self.stems.clear()
-        parts, need = [], {}
-        for word in words:
-            text = word.decode("utf-8", "replace")
-            stem = text.rstrip(".,;:!?*%&$#|")
-            # letters then other marks: two pieces for the tokenizer, as neither holds an apostrophe at the seam
-            if stem and stem != text and stem[-1].isalpha() and stem[-1] <= "ɏ":
-                part = (stem.lower() if stem.isascii() else stem, text[len(stem) :])
-            else:
-                part = (text.lower() if text.isascii() and "<|" not in text else text,)
-            parts.append((word, part))
-            for x in part:
-                if x not in self.stems:
-                    need[x] = None
-        if need:
-            kind = "<u4" if self.wide else "<u2"
-            for x, e in zip(need, self.tokenizer.encode_batch(list(need), add_special_tokens=False)):
-                self.stems[x] = np.array(e.ids, kind).tobytes()
-        for word, part in parts:
-            self.known[word] = b"".join([self.stems[x] for x in part])
+        marks, stems = self.marks, self.stems
+        cut = [w.rstrip(marks) for w in words]
+        low = [s.lower() if b"<|" not in s else s for s in cut]
+        new = set(low).difference(stems)
+        self._learn(list(new))
+        whole = []
+        tails: dict[bytes, bytes] = {b"": b""}
+        for w, s, k in zip(words, cut, low):
+            ids = stems[k]
+            if ids is None:
+                whole.append(w)
+                continue
+            tail = w[len(s) :]
+            if tail not in tails:
+                tails[tail] = self._each([tail])[0]
+            self.known[w] = ids + tails[tail]
+        if whole:
+            self.known.update(zip(whole, self._each(whole)))
 
     def encode(self, texts: list[bytes | None], end: int | None) -> list[bytes]:
         words = [(x or b"").split() for x in texts]
