@@ -150,3 +150,15 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["time"], r["n"]) for r in spark.table("windows").collect()) == sorted((r["time"], r["n"]) for r in windowed_statistics(events).collect())
+
+
+def test_text_utilities(spark):
+    from cubeloom.functions import text
+
+    assert text.time_strings("x-20020401-20020406.nc") == ["2002-04-01", "2002-04-06"] and text.time_strings("sst_June.nc") == ["06"] and text.time_strings("a-200204.nc") == ["2002-04"]
+    assert text.time_strings("20020401T103000") == ["2002-04-01T10:30:00"]
+    df = spark.createDataFrame([("x-20020401.nc",), ("none",), (None,)], "n string")
+    assert [r[0] for r in df.select(text.first_time(F.col("n"))).collect()] == [datetime(2002, 4, 1), None, None]
+    assert text.to_json({"a": (1, float("nan"), date(2001, 1, 2), 1 + 2j)}) == {"a": [1, None, "2001-01-02", [1.0, 2.0]]}
+    assert text.new_indexed_name({"v_1", "v_2"}, "v_{index}") == "v_3" and text.encode_url_path("/a/%(x)s", {"x": "b c"}, {"q": 1}) == "/a/b%20c?q=1"
+    assert text.is_str_constant(text.to_str_constant("it's")) and text.to_scalar([[3.14159]], 2) == 3.14 and text.to_scalar([1, 2]) is None and text.to_list("a") == ["a"]
