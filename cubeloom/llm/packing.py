@@ -11,7 +11,9 @@ across windows and partitions without a chain of tasks, every window but the las
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +26,28 @@ from .common import small_batches, stored
 MOST_QUEUES, MOST_BROADCAST = 512, 50_000
 
 
+class _Numbers(dict):
+    """Numbers of pieces in order of their first coming; `fresh` holds those that came since it was emptied."""
+
+    def __init__(self) -> None:
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        self.fresh.append(piece)
+        n = self[piece] = len(self)
+        return n
+
+
 class Encoder:
-    """Token ids of texts. White space separates words for this tokenizer, so words are encoded once and kept, in bounded memory.
+    """Token ids of texts. The tokenizer reads a text piece by piece (letters, a digit, other marks); equal pieces have equal
+    ids, so each is encoded once and kept, in bounded memory.
 
-    A word's stem, without the marks that end it, is a piece of its own for the tokenizer if it ends in a letter; a stem
-    of letters only is one piece, and pieces end in a token with the end-of-word mark. So many stems are encoded as one text.
+    A piece of letters ends in a token with the end-of-word mark, so many are encoded as one text. Texts with characters
+    that are neither ASCII nor letters, or with the opening of a special token, go to the tokenizer as they are.
     """
 
-    most = 500_000
-    marks = b".,;:!?*%&$#|"
+    most = 1_000_000
+    piece = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,74 +60,66 @@ class Encoder:
         self.ends = np.zeros(size + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.known: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes | None] = {}
-
-    def _each(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
-
-    def _learn(self, stems: list[bytes]) -> None:
-        """Ids of stems; None for those that a mark may join."""
-        letters, other = [], []
-        for s in stems:
-            text = s.decode("utf-8", "replace")
-            if not text or not text[-1].isalpha() or text[-1] > "ɏ":
-                self.stems[s] = None
-            else:
-                (letters if text.isalpha() else other).append((s, text))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = _Numbers()
+        self.ids, self.start, self.count = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self) -> None:
+        """Keep the ids of the fresh pieces; a count of -1 marks those with a character neither ASCII nor a letter."""
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        texts = [p.decode("utf-8", "replace") for p in fresh]
+        count = np.full(len(fresh), -1, np.int64)
+        start = np.zeros(len(fresh), np.int64)
+        letters = [i for i, t in enumerate(texts) if t.isalpha()]
+        other = [i for i, t in enumerate(texts) if t.isascii() and not t.isalpha()]
+        kept, at = [], len(self.ids)
         for lo in range(0, len(letters), 5000):
-            some = letters[lo : lo + 5000]
-            ids = np.array(self.tokenizer.encode(" ".join([t for _, t in some]), add_special_tokens=False).ids, self.kind)
+            some = np.array(letters[lo : lo + 5000])
+            ids = np.array(self.tokenizer.encode(" ".join([texts[i] for i in some]), add_special_tokens=False).ids, self.kind)
             stops = np.nonzero(self.ends[ids])[0] + 1
             if len(stops) != len(some):
-                other += some
-                continue
-            data, step, at = ids.tobytes(), ids.itemsize, 0
-            for (s, _), stop in zip(some, (stops * step).tolist()):
-                self.stems[s] = data[at:stop]
-                at = stop
-        if other:
-            self.stems.update(zip([s for s, _ in other], self._each([s for s, _ in other])))
-
-    def _fresh(self, words: list[bytes]) -> None:
-        if len(self.known) > self.most:
-            self.known.clear()
-        if len(self.stems) > self.most:
-            self.stems.clear()
-        marks, stems = self.marks, self.stems
-        cut = [w.rstrip(marks) for w in words]
-        low = [s.lower() if b"<|" not in s else s for s in cut]
-        new = set(low).difference(stems)
-        self._learn(list(new))
-        whole = []
-        tails: dict[bytes, bytes] = {b"": b""}
-        for w, s, k in zip(words, cut, low):
-            ids = stems[k]
-            if ids is None:
-                whole.append(w)
+                other += some.tolist()
                 continue
-            tail = w[len(s) :]
-            if tail not in tails:
-                tails[tail] = self._each([tail])[0]
-            self.known[w] = ids + tails[tail]
-        if whole:
-            self.known.update(zip(whole, self._each(whole)))
+            begins = np.concatenate(([0], stops[:-1]))
+            start[some], count[some] = at + begins, stops - begins
+            kept.append(ids)
+            at += len(ids)
+        for i, ids in zip(other, self._each([texts[i] for i in other])):
+            start[i], count[i] = at, len(ids)
+            kept.append(ids)
+            at += len(ids)
+        self.ids = np.concatenate([self.ids, *kept])
+        self.start, self.count = np.concatenate([self.start, start]), np.concatenate([self.count, count])
 
     def encode(self, texts: list[bytes | None], end: int | None) -> list[bytes]:
-        words = [(x or b"").split() for x in texts]
-        missing: set[bytes] = set()
-        for x in words:
-            missing.update(x)
-        missing.difference_update(self.known)
-        if len(self.known) + len(missing) > self.most:
-            self.known.clear()
-            missing = {w for x in words for w in x}
-        if missing:
-            self._fresh(list(missing))
+        """The ids of each text, as bytes, and the end token."""
         tail = b"" if end is None else int(end).to_bytes(4 if self.wide else 2, "little")
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) + tail for x in words]
+        if len(self.numbers) > self.most:
+            self._forget()
+        parts = [self.piece.findall(x.lower()) if x and b"<|" not in x else [] for x in texts]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
+        if self.numbers.fresh:
+            self._learn()
+        count = self.count[flat]
+        odd = np.nonzero(count < 0)[0]
+        ends = np.cumsum(sizes)
+        plain = set(np.searchsorted(ends, odd, side="right").tolist()) | {i for i, x in enumerate(texts) if x and b"<|" in x}
+        count = np.maximum(count, 0)
+        stops = np.cumsum(count)
+        ids = self.ids[np.repeat(self.start[flat] - stops + count, count) + np.arange(int(stops[-1]) if len(stops) else 0)].tobytes()
+        step = 4 if self.wide else 2
+        upto = np.concatenate(([0], stops))[ends] * step
+        out, at = [], 0
+        for i, stop in enumerate(upto.tolist()):
+            out.append((self._each([texts[i].decode("utf-8", "replace")])[0].tobytes() if i in plain else ids[at:stop]) + tail)
+            at = stop
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -247,18 +254,13 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, width: int = 2048,
         owner = rows[np.searchsorted(at[rows], cuts, side="right") - 1]
         window = np.searchsorted(mine, cuts, side="right") - 1
         start, length = cuts - at[owner], stops - cuts
-        step = 4 if wide else 2
-        body: list[bytes] = []
-        of, whole = -1, b""
-        for o, s, k in zip(owner.tolist(), start.tolist(), length.tolist()):
-            if o != of:
-                of, whole = o, ids[o].as_py()
-                if not wide:
-                    whole = np.frombuffer(whole, "<u2").astype("<u4").tobytes()
-            body.append(whole[4 * s : 4 * (s + k)])
+        # the stream's ids stand in one buffer; a piece is a range of it
+        whole = np.frombuffer(b"".join(ids.take(pa.array(rows)).to_pylist()), "<u4" if wide else "<u2").astype("<u4")
+        offsets = np.append(cuts - first, last - first) * 4
+        body = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(whole.tobytes())])
         take = pa.array(owner)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(take), batch.column(1).take(take), pa.array(start), pa.array(length), pa.array(body, pa.binary()), pa.array(n[owner]), pa.array(window + lo), pa.array(lead[window] + cuts - mine[window])],
+            [batch.column(0).take(take), batch.column(1).take(take), pa.array(start), pa.array(length), body, pa.array(n[owner]), pa.array(window + lo), pa.array(lead[window] + cuts - mine[window])],
             ["doc_id", "queue", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
         )
 
