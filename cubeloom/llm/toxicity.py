@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, small_batches
 
-LENGTH, DECAY, FLOOR, PIECE = 3, 0.6, 0.4, 32
+LENGTH, DECAY, FLOOR, PIECE, MOST_GRAMS = 3, 0.6, 0.4, 32, 400_000
 NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
@@ -102,8 +102,8 @@ class Model:
         for lo in range(0, len(pieces), 20_000):
             lacking = np.bitwise_count(self.masks[None, :] & ~masks[lo : lo + 20_000, None])
             i, j = np.nonzero(lacking <= 1)
-            for at in range(0, len(i), 50_000):
-                x, y = i[at : at + 50_000] + lo, j[at : at + 50_000]
+            for at in range(0, len(i), 15_000):
+                x, y = i[at : at + 15_000] + lo, j[at : at + 15_000]
                 value = np.minimum(1.0, subsequence_kernel([pieces[k][1] for k in x], [self.landmarks[k] for k in y]) / self.own[y])
                 for k in np.nonzero(value >= FLOOR)[0]:
                     row = found.setdefault(pieces[x[k]][0], np.zeros(len(self.landmarks)))
@@ -151,16 +151,22 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = 6
                         out.update(p[i : i + n] for i in range(len(p) - n + 1))
         return out
 
-    own = [grams({w for w in t if w not in common}) for t in toxic]
+    novel = [{w for w in t if w not in common} for t in toxic]
     least = 2 if len(toxic) < 200 else 4
-    times = Counter(g for x in own for g in x)
+    times: Counter = Counter()
+    for x in novel:
+        times.update(grams(x))
+        if len(times) > MOST_GRAMS:  # what was met once so far starts anew; memory stays bounded
+            times = Counter({g: k for g, k in times.items() if k > 1})
     good = {g for g, k in times.items() if k >= least}
-    against = Counter(g for x in clean for g in grams(x) & good) if good else Counter()
+    against: Counter = Counter()
+    for x in clean if good else ():
+        against.update(grams(x) & good)
     rate = len(toxic) / max(1, len(clean))
     good = {g for g in good if against[g] * rate <= 0.05 * times[g]}
     where = defaultdict(list)
-    for i, x in enumerate(own):
-        for g in x & good:
+    for i, x in enumerate(novel):
+        for g in grams(x) & good:
             where[g].append(i)
     where = {g: np.array(v) for g, v in where.items()}
     weight, chosen = np.ones(len(toxic)), []
@@ -201,8 +207,10 @@ def gapped(word: str) -> list[str]:
 def fit(texts: list[str | None], labels: list[int], rounds: int = 3) -> Model:
     """Train on labelled texts. Without any text of one of the labels, the score is the share of the other."""
     y = np.array(labels)
-    words = [words_of(t) for t in texts]
-    distinct = [{NOT_LETTER.sub("", w) for w in x} for x in words]
+    pool: dict[str, str] = {}  # equal words share one string
+    words = [[pool.setdefault(w, w) for w in words_of(t)] for t in texts]
+    letters = {w: NOT_LETTER.sub("", w) for w in list(pool)}
+    distinct = [{pool.setdefault(letters[w], letters[w]) for w in x} for x in words]
     chosen = choose_landmarks([d for d, k in zip(distinct, y) if k], [d for d, k in zip(distinct, y) if not k])
     if not chosen:
         share = (y.sum() + 0.5) / (len(y) + 1.0)
