@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stored
 
-MOST_QUEUES, MOST_BROADCAST = 512, 50_000
+MOST_BROADCAST = 50_000
+#: The most numbers in a table of queues by windows.
+MOST_CELLS = 4_000_000
 
 
 class _Numbers(dict):
@@ -164,8 +166,13 @@ class Schedule:
     def __init__(self, lengths: list[int], shares: list[float], width: int) -> None:
         self.lengths, self.shares, self.width = np.array(lengths, np.int64), np.array(shares, float), width
         self.total = int(self.lengths.sum())
-        ends = np.unique(np.concatenate(([0.0], self.lengths / self.shares)))
-        self.times, self.served = ends, np.minimum(self.lengths, self.shares * ends[:, None]).sum(axis=1)
+        done = self.lengths / self.shares
+        ends = np.unique(np.concatenate(([0.0], done)))
+        order = np.argsort(done, kind="stable")  # queues in order of their end; sums instead of a table of queues by ends
+        over = np.searchsorted(done[order], ends, side="right")
+        had = np.concatenate(([0], np.cumsum(self.lengths[order])))
+        rate = np.concatenate((np.cumsum(self.shares[order][::-1])[::-1], [0.0]))
+        self.times, self.served = ends, had[over] + rate[over] * ends
 
     def _had(self, t: np.ndarray) -> np.ndarray:
         return np.minimum(self.lengths, np.floor(self.shares * t[:, None]).astype(np.int64))
@@ -188,6 +195,13 @@ class Schedule:
             short = want - had.sum(axis=1)
         return had
 
+    def column(self, windows: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """A_j for windows, and the sum of A over the queues ahead of j, from tables of bounded size."""
+        most = max(1, MOST_CELLS // max(1, len(self.lengths)))
+        tables = (self.before(windows[k : k + most]) for k in range(0, len(windows), most))
+        mine, ahead = zip(*((t[:, j], t[:, :j].sum(axis=1)) for t in tables))
+        return np.concatenate(mine), np.concatenate(ahead)
+
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, width: int = 2048, end: int | None = 1, weights: dict[str | None, float] | None = None) -> DataFrame:
     """Pieces of docs (doc_id, text, source): doc_id, source, start, length, ids (32-bit little-endian), doc_tokens, sequence_id, offset.
@@ -195,15 +209,13 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, width: int = 2048,
     weights: the target share of tokens of each source while it lasts (those not named: 0.0001 of the least), by default
     the sources' own shares, so that every window mirrors the whole. Each token lies in one piece; sequences are full
     but the last. Null texts are empty and hold the end token only; without end token they have no piece. A null source
-    is a queue of its own. Beyond 512 sources, queues are made of sources by hash. Repeated rows are packed each. An
+    is a queue of its own. Each source has its own queue, at every number of sources. Repeated rows are packed each. An
     empty table gives none.
     """
     spark = docs.sparkSession
     path = tokenizer_path or default_tokenizer()
     name = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
-    many = docs.select("source").distinct().count() > MOST_QUEUES if weights is None else False
-    queue = F.concat(F.lit("h"), F.pmod(F.xxhash64(name), F.lit(MOST_QUEUES)).cast("string")) if many else name
-    held = stored(tokens(docs.select("doc_id", "text", queue.alias("queue")), path, end), "tokens")
+    held = stored(tokens(docs.select("doc_id", "text", name.alias("queue")), path, end), "tokens")
     # sums of parts: as many rows as parts times queues; parts of one queue are summed up in their order
     sums = held.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     ahead = sums.select("queue", "part", (F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")).alias("ahead"), "n").checkpoint()
@@ -244,10 +256,10 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, width: int = 2048,
     def pieces(batch: pa.RecordBatch, plan: Schedule, j: int, rows: np.ndarray, n: np.ndarray, at: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
         first, last = int(at[rows[0]]), int(at[rows[-1]] + n[rows[-1]])
         guess = np.minimum(plan.lengths, plan.shares * (np.array([[first], [last]]) / plan.shares[j])).sum(axis=1) // width
-        lo, hi = max(0, int(guess[0]) - 2), min(-(-plan.total // width), int(guess[1]) + 3)
-        table = plan.before(np.arange(lo, hi + 1))
-        mine = table[:, j]
-        lead = (table[1:, :j] - table[:-1, :j]).sum(axis=1)
+        spare = 2 + len(plan.lengths) // width  # a queue lacks less than a token of its share
+        lo, hi = max(0, int(guess[0]) - spare), min(-(-plan.total // width), int(guess[1]) + spare + 1)
+        mine, before = plan.column(np.arange(lo, hi + 1), j)
+        lead = np.diff(before)
         inside = mine[(mine > first) & (mine < last)]
         cuts = np.unique(np.concatenate((at[rows], inside)))
         stops = np.append(cuts[1:], last)

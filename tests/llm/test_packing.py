@@ -68,3 +68,19 @@ def test_pack_rounds_trip(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
     same = spark.createDataFrame([(1, "a b", "x", "", 0), (1, "a b", "x", "", 0)], SCHEMA)
     assert sorted((p["offset"], p["length"]) for p in packing.pack(same).collect()) == [(0, 3), (3, 3)]
+
+
+def test_each_of_many_sources_has_its_share_of_each_window(spark):
+    rows = [(i, "hot words here " * 40, "hot") for i in range(60)] + [(100 + i, f"word{i} " * 4, f"s{i:03d}") for i in range(599)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(df).collect()
+    check(rows, got)
+    assert len({p["queue"] for p in got}) == 600
+    n, total = defaultdict(int), sum(p["length"] for p in got)
+    for p in got:
+        n[p["sequence_id"], p["queue"]] += p["length"]
+    size = {q: sum(v for (_, x), v in n.items() if x == q) for q in {p["queue"] for p in got}}
+    hot = size.pop("shot")  # takes what 599 small queues, each short of less than a token, leave
+    assert hot == 7260
+    for q, v in size.items():  # a source's tokens are spread over the windows, not given in a run
+        assert max(m for (_, x), m in n.items() if x == q) <= v * 2048 / total + 2, q
