@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,12 +71,55 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def row_id(docs: DataFrame) -> DataFrame:
-    """Add _file and _row, which name a row of the files that docs reads, the same in every scan of them; of other frames, positions in its partitions."""
-    hidden = docs._jdf.queryExecution().analyzed().metadataOutput().mkString(" ")
-    if "_metadata" in hidden and all(str(f).lower().split("?")[0].rstrip("/").endswith(".parquet") for f in docs.inputFiles()[:1]):
-        return docs.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return docs.select("*", F.lit(0).cast("long").alias("_file"), F.monotonically_increasing_id().alias("_row"))
+def fresh(columns: Iterable[str], *names: str) -> tuple[str, ...]:
+    """The names, with underlines put before them until no column has them (in any case of letters)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return tuple(out)
+
+
+def quoted(name: str) -> Column:
+    """The column of this very name, whatever marks are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def of_files(docs: DataFrame) -> bool:
+    """Whether each row of docs is one row of a Parquet file: a scan with filters and projections only."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.children().isEmpty() and plan.nodeName() == "LogicalRelation" and "parquet" in plan.relation().toString().lower()
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """docs, if its rows have lasting places in Parquet files; else a stored copy of it, so that two scans see the same rows."""
+    return docs if of_files(docs) else stored(docs, "rows")
+
+
+def row_id(docs: DataFrame, file: str = "_file", row: str = "_row") -> DataFrame:
+    """Add file and row, which name a row of the files that docs (see placed) reads, the same in every scan of them."""
+    at = docs.metadataColumn("_metadata")
+    return docs.select("*", F.xxhash64(at["file_path"]).alias(file), at["row_index"].alias(row))
+
+
+#: A key with more than this part of all rows is hot; there are fewer hot keys than its inverse.
+HOT_PART = 1 / 1000
+
+
+def join_hot(rows: DataFrame, known: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with known, which has one row for each key and the number of the key's rows in `count`.
+
+    Rows of hot keys, of which there are at most 1 / HOT_PART, meet their row of known by broadcast and are not moved.
+    """
+    total = known.agg(F.sum(count)).first()[0] or 0
+    hot = known.where(F.col(count) > max(1, total * HOT_PART)).drop(count)
+    names = F.broadcast(hot.select(key))
+    cold = rows.join(names, key, "left_anti").join(known.drop(count), key)
+    return cold.unionByName(rows.join(F.broadcast(hot), key))
 
 
 def fold(doc_id: Column, n: int) -> Column:

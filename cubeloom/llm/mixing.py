@@ -3,25 +3,41 @@
 Each document of a source gets the same real number of copies, target / source size. Its whole part is certain; the
 fraction is rounded by the pivotal method: two fractional documents meet, mass moves from one to the other, in words,
 until one of them is integral, the direction drawn so that expectations stand. The words of a source are thus kept
-exactly in each meeting. A source's documents are dealt to bounded chunks which run apart, largest document first; the
-one residual of each chunk, a small document, goes up a reduction tree. Within a chunk the last residual of the larger
-documents is rounded alone and the words this adds or takes are spread over the shares of the smaller ones, which meet in
-turn.
+exactly in each meeting. A source's documents are dealt to bounded chunks which run apart, largest document first, so
+that what is left over is a small document where there are enough of these; the one residual of each chunk goes up a
+reduction tree. Only the last residual of a source is rounded by a draw of its own: a source's words stray by less than
+one document, and the expectation of every document is its share.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_id, shared_dir, stored
+from .common import fresh, placed, quoted, row_id, shared_dir, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK, FAN_IN, MOST_BROADCAST = 4096, 64, 10_000
+#: The rounds of draws that the last residuals have for themselves.
+LAST_ROUND = 1 << 20
+
+
+def _ranked(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """rows with their place, from 0, in an order: sorted by ranges, counted by part, no window over all."""
+    at = F.monotonically_increasing_id()  # the part in the upper bits, the place in it in the lower 33
+    held = rows.orderBy(*order).withColumn("_at", at).checkpoint()
+    part = F.shiftright("_at", 33)
+    counts = dict(held.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # one row for each part of a sort
+    ahead, sums = 0, {}
+    for p in sorted(counts):
+        sums[p], ahead = ahead, ahead + counts[p]
+    first = F.create_map(*(F.lit(x) for p, n in sums.items() for x in (p, n))) if sums else F.create_map().cast("map<bigint,int>")
+    return held.withColumn(name, F.element_at(first, part) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
@@ -32,10 +48,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), mos
     """
     shared_dir(sizes.sparkSession)
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    # one row for each source goes through this window, never one for each document
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (rank % len(weights) + 1).cast("int"))
-    by = by.select("*", weight.alias("weight")).checkpoint()
+    rank = _ranked(by, [F.col("source").isNull(), F.col("source")], "_rank")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("_rank") % len(weights) + 1).cast("int"))
+    by = rank.select("source", "source_size", "n", weight.alias("weight")).checkpoint()
     free, level = F.lit(True), 0.0
     while True:
         sums = by.agg(
@@ -84,35 +99,6 @@ def pivotal(size: np.ndarray, share: np.ndarray, draws: np.ndarray) -> tuple[np.
     return share, at
 
 
-def settle(size: np.ndarray, share: np.ndarray, draws: np.ndarray, whole: bool = True) -> np.ndarray:
-    """Round shares, sizes descending: the larger documents meet first, their last residual is rounded by its draw.
-
-    What that adds or takes is spread over the smaller documents' shares, which settle in the same way, so that the words
-    of the whole stray by about the size of a small document. The spread has mean zero; expectations stand. Without
-    `whole` the very last residual, a small document, stays fractional.
-    """
-    share, low, n = share.copy(), 0, len(size)
-    while low < n:
-        tail = np.cumsum(size[low:][::-1])[::-1]
-        cut = low + max(1, int(np.searchsorted(-tail, -3 * size[low], side="right")) - 1) if n - low > 3 else n
-        cut = min(cut, n) if cut > low + 1 or n - low <= 3 else low + max(1, (n - low) // 3)
-        share[low:cut], at = pivotal(size[low:cut], share[low:cut], draws[low:cut])
-        if at >= 0 and (whole or cut < n):
-            at += low
-            owed = share[at] * size[at]
-            share[at] = float(draws[at] < share[at])
-            owed -= share[at] * size[at]
-            for _ in range(8):
-                rest = np.arange(cut, n)[(share[cut:] < 1) if owed > 0 else (share[cut:] > 0)]
-                if not len(rest) or abs(owed) < 1e-9:
-                    break
-                new = np.clip(share[rest] + owed / size[rest].sum(), 0, 1)
-                owed -= ((new - share[rest]) * size[rest]).sum()
-                share[rest] = new
-        low = cut
-    return share
-
-
 def _draw(seed: int, level: int, keys: np.ndarray) -> np.ndarray:
     """Uniform numbers that depend on seed, level and key only, so that reruns agree."""
     with np.errstate(over="ignore"):
@@ -127,13 +113,14 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float
     """_file, _row, doc_id, source, size, source_size, target, taken and copies for each row of docs.
 
     A document's size is its number of words; a null or empty text has none and takes none. A null source is a source of
-    its own, the last. Repeated rows are separate documents. taken is a whole number of copies times the size, at most
-    `most` rounded up. An empty table gives none.
+    its own, the last. Repeated rows are separate documents; equal rows (id and text) of more than a chunk are dealt by
+    their places in the files, all others by content alone, so that reruns over other files agree. taken is a whole
+    number of copies times the size, at most `most` rounded up. Other columns play no part. An empty table gives none.
     """
-    spark = docs.sparkSession
+    slim = placed(docs.select("doc_id", "text", "source"))
     key = F.xxhash64("doc_id", "text")
     size = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORD))).cast("long")
-    base = stored(row_id(docs.select("doc_id", "text", "source")).select("doc_id", "source", size.alias("size"), key.alias("_key"), "_file", "_row"), "sizes")
+    base = stored(row_id(slim).select("doc_id", "source", size.alias("size"), key.alias("_key"), "_file", "_row"), "sizes")
     targets = source_targets(base, weights, most).withColumnRenamed("source", "_source")
     sums = targets.agg(F.count("*").alias("n"), F.max("n").alias("most")).first()
     small = F.broadcast(targets) if sums["n"] <= MOST_BROADCAST else targets
@@ -141,40 +128,54 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float
     whole = F.floor(F.col("copies") + 1e-12)
     rows = rows.select("*", whole.cast("long").alias("whole"), F.greatest(F.col("copies") - whole, F.lit(0.0)).alias("share"))
     rows = rows.withColumn("share", F.when((F.col("share") < 1e-12) | (F.col("size") == 0), 0.0).otherwise(F.col("share")))
-    chunk = F.pmod(F.xxhash64("_key"), F.ceil(F.col("n") / CHUNK))  # by content alone, so that reruns over other files agree
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", "whole", "share", "_key", "_file", "_row", chunk.cast("long").alias("chunk"))
-    level, groups, done = 0, math.ceil((sums["most"] or 0) / CHUNK), None
-    now = rows
+    rows = rows.select("doc_id", "source", "size", "source_size", "target", "whole", "share", "n", "_key", "_file", "_row")
+    is_open = (F.col("share") > 0) & (F.col("share") < 1)
+    done = [rows.where(~is_open).drop("n")]
+    now = dealt(rows.where(is_open))
+    level, groups = 0, math.ceil((sums["most"] or 0) / CHUNK)
     while True:
         last = groups <= 1
         met = _meet(now, seed, level, last)
         if last:
-            done = met if done is None else done.unionByName(met)
+            done.append(met.drop("chunk"))
             break
         met = stored(met, f"level{level}")
-        open_ = (F.col("share") > 0) & (F.col("share") < 1)
-        done = met.where(~open_) if done is None else done.unionByName(met.where(~open_))
-        now = met.where(open_).withColumn("chunk", F.floor(F.col("chunk") / FAN_IN))
+        done.append(met.where(~is_open).drop("chunk"))
+        now = met.where(is_open).withColumn("chunk", F.floor(F.col("chunk") / FAN_IN))
         level, groups = level + 1, math.ceil(groups / FAN_IN)
     taken = F.col("whole") + F.round("share").cast("long")
-    return done.select("_file", "_row", "doc_id", "source", "size", "source_size", "target", (taken * F.col("size")).alias("taken"), taken.alias("copies"))
+    made = reduce(DataFrame.unionByName, done)
+    return made.select("_file", "_row", "doc_id", "source", "size", "source_size", "target", (taken * F.col("size")).alias("taken"), taken.alias("copies"))
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows (n: those of the source) with their chunk, of CHUNK rows on average."""
+    chunks = F.ceil(F.col("n") / CHUNK)
+    many = rows.groupBy("_key").agg(F.count("*").alias("_same")).where(F.col("_same") > CHUNK).checkpoint()
+    if many.isEmpty():
+        placing = F.xxhash64("_key")
+    else:  # a chunk holds more than CHUNK rows of each, so there are few
+        rows = rows.join(many if many.count() > MOST_BROADCAST else F.broadcast(many), "_key", "left")
+        placing = F.when(F.col("_same").isNull(), F.xxhash64("_key")).otherwise(F.xxhash64("_key", "_file", "_row"))
+    return rows.withColumn("chunk", F.pmod(placing, chunks).cast("long")).select("doc_id", "source", "size", "source_size", "target", "whole", "share", "_key", "_file", "_row", "chunk")
 
 
 def _meet(rows: DataFrame, seed: int, level: int, last: bool) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "_key", "_row"], ascending=[False, True, True], kind="stable")
-        draws = _draw(seed, level, rows["_key"].to_numpy(np.int64) + rows.groupby("_key").cumcount().to_numpy(np.int64))
-        size, share = rows["size"].to_numpy(float), rows["share"].to_numpy(float).copy()
-        open_ = np.nonzero((share > 0) & (share < 1))[0]
-        share[open_] = settle(size[open_], share[open_], draws[open_], whole=last)
+        rows = rows.sort_values(["size", "_key", "_file", "_row"], ascending=[False, True, True, True], kind="stable")
+        keys = rows["_key"].to_numpy(np.int64) + rows.groupby("_key").cumcount().to_numpy(np.int64)
+        share, at = pivotal(rows["size"].to_numpy(float), rows["share"].to_numpy(float), _draw(seed, level, keys))
+        if last and at >= 0:
+            share[at] = float(_draw(seed, LAST_ROUND, keys[at : at + 1])[0] < share[at])
         return rows.assign(share=share)
 
     return rows.groupBy("source", "chunk").applyInPandas(run, rows.schema)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it, rows of no words kept away."""
-    many = copies(docs, weights, most, seed).where("copies > 0").select("_file", "_row", F.col("copies").alias("_copies"))
-    placed = row_id(docs).join(many, ["_file", "_row"])
-    out = placed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    """docs with each row repeated as often as the mix takes it, rows of no words kept away; all columns pass, of any name."""
+    docs = placed(docs)
+    file, row, many, copy = fresh(docs.columns, "_file", "_row", "_many", "_copy")
+    found = copies(docs, weights, most, seed).where("copies > 0").select(F.col("_file").alias(file), F.col("_row").alias(row), F.col("copies").alias(many))
+    out = row_id(docs, file, row).join(found, [file, row]).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(many).cast("int"))))
+    return out.select(*map(quoted, docs.columns))

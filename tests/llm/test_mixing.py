@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cubeloom.llm import mixing
 
@@ -57,12 +58,57 @@ def test_pivotal_keeps_words_and_expectations():
     assert np.abs(sums / 4000 - 0.4).max() < 0.03
 
 
-def test_settle_ends_whole():
+def test_every_document_keeps_its_expectation():
     rng = np.random.default_rng(2)
-    for n in range(1, 40):
-        size = np.sort(rng.integers(1, 500, n).astype(float))[::-1]
-        out = mixing.settle(size, np.full(n, 0.3), rng.random(n))
-        assert set(out) <= {0.0, 1.0}
+    size = np.sort(np.minimum(20_000, np.exp(rng.normal(5, 1.5, 600))).astype(int) + 1.0)[::-1]
+    lumps = np.array([50_000.0, 40_000] + [1] * 400)
+    for size, share in ((size, 0.05), (size, 0.9), (size, 0.97), (lumps, 0.9)):
+        n, sums, furthest = 800, np.zeros(len(size)), 0.0
+        for _ in range(n):
+            out, at = mixing.pivotal(size, np.full(len(size), share), rng.random(len(size)))
+            if at >= 0:
+                out[at] = float(rng.random() < out[at])
+            sums += out
+            furthest = max(furthest, abs((out - share) @ size))
+        assert np.abs(sums / n - share).max() < 4.5 * np.sqrt(share * (1 - share) / n)
+        assert furthest <= size[0]
+
+
+def test_last_residual_has_a_draw_of_its_own():
+    keys = np.arange(50_000)
+    a, b = mixing._draw(7, 0, keys), mixing._draw(7, mixing.LAST_ROUND, keys)
+    assert abs(np.corrcoef(a, b)[0, 1]) < 0.02 and abs(b.mean() - 0.5) < 0.01
+
+
+def test_tree_of_chunks_keeps_words(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 16)
+    monkeypatch.setattr(mixing, "FAN_IN", 3)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 60))), "a" if i % 3 else "b") for i in range(900)]
+    size, taken, most = defaultdict(int), defaultdict(int), 59
+    target = {}
+    for r in mixing.copies(docs(spark, rows)).collect():
+        size[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert r["taken"] in {r["size"] * k for k in range(4)}
+    assert all(abs(taken[s] - target[s]) <= most for s in size)
+
+
+def test_equal_rows_are_dealt_to_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 64)
+    rows = docs(spark, [(None, "same words here", "a")] * 3000 + [(1, "b", "b")])
+    base = mixing.stored(rows.selectExpr("doc_id", "source", "3L as size", "9L as source_size", "1d as target", "0L as whole", "0.5d as share", "3001L as n", "xxhash64(doc_id, text) as _key"), "t")
+    chunks = [r["n"] for r in mixing.dealt(mixing.row_id(base)).groupBy("source", "chunk").agg(F.count("*").alias("n")).collect()]
+    assert max(chunks) < 150
+    got = mixing.copies(rows).collect()
+    assert len(got) == 3001 and sum(r["taken"] for r in got if r["source"] == "a") % 3 == 0
+
+
+def test_ranks_without_one_window(spark):
+    names = [f"s{i:04d}" for i in range(500)] + [None]
+    got = mixing._ranked(spark.createDataFrame([(n,) for n in names[::-1]], "source string"), [F.col("source").isNull(), F.col("source")], "r").collect()
+    assert {r["source"]: r["r"] for r in got} == {n: i for i, n in enumerate(names)}
 
 
 def test_edge_cases(spark):
@@ -74,6 +120,8 @@ def test_edge_cases(spark):
     assert len(re.findall(mixing.WORD, "\x1fx y z")) == 2
     mixed = mixing.mix(docs(spark, rows))
     assert mixed.columns == ["doc_id", "text", "source", "size", "copies"] and all(r["text"] for r in mixed.collect())
+    clash = docs(spark, rows).selectExpr("*", "1 as _file", "2 as _ROW", "3 as _many", "4 as _copy", "5 as share")
+    assert sorted(map(str, mixing.mix(clash).select("doc_id", "_file", "_ROW", "_many", "_copy").collect())) == sorted(str(r) for r in mixing.mix(docs(spark, rows)).selectExpr("doc_id", "1 as _file", "2 as _ROW", "3 as _many", "4 as _copy").collect())
     none = spark.createDataFrame([], SCHEMA)
     assert mixing.copies(none).count() == 0 and mixing.mix(none).count() == 0
     assert all(r["taken"] == 0 for r in mixing.copies(docs(spark, [(1, None, None), (2, " ", "a")])).collect())
