@@ -1,17 +1,19 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 A fingerprint has eight bytes. If two differ in at most two bits, at least six of their bytes agree at the same
-positions (the guaranteed minimum), and of the four byte pairs (0,1), (2,3), (4,5), (6,7) at least two agree. The index
-therefore posts each distinct fingerprint under the six choices of two byte pairs; what shares a list is tallied by
-positional bytes, kept from six on, and verified bit by bit. Lists are never cut: a list too long for pairs is
-searched through the one-bit neighbours of its members, which links all that differ in two bits or fewer, exactly.
+positions: the guaranteed minimum. The index posts each distinct fingerprint under its bytes at every choice of START
+positions. A list that is too long for pairs is split by each further position, up to six of them; both ways of reaching
+a choice give the same list. What two members of a short list share is tallied by aggregation: the union of the positions
+of all lists that hold both. A pair that agrees at m >= 6 positions stands together in a list for each of them, so its
+tally is m; pairs are kept from the guaranteed minimum on and verified bit by bit. A long list of six positions, whose
+members differ in two bytes at most, is split in the same way by the half bytes of these: of four, two agree in any pair
+that differs in two bits. No list is cut, and no list of pairs has more than 256 members.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, components, row_id, shared_dir, small_batches
+from .common import by_batch, components, fresh, join_hot, placed, quoted, row_id, shared_dir, small_batches
 
-BITS, LEAST_BYTES, PAIR_LIST = 2, 6, 24
-CHOICES = list(combinations(range(4), 2))
+BITS, LEAST_BYTES = 2, 6
+#: Positions of a first list, and the longest list whose members are paired.
+START, PAIR_LIST = 3, 8
+MOST_BROADCAST = 200_000
 
 
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
@@ -61,67 +65,101 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3) -> D
     return by_batch(slim, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "fp long"]))
 
 
-def _byte(fp: Column, i: int) -> Column:
-    return F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(255).cast("long"))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def _unit(fp: Column, i: int) -> Column:
-    return F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(65535).cast("long"))
+def _bytes_at(mask: int) -> int:
+    """The bits of the bytes at a choice of positions, as a signed long."""
+    return _signed(sum(0xFF << 8 * i for i in range(8) if mask >> i & 1))
 
 
-def index(fps: DataFrame) -> DataFrame:
-    """The posting lists: list_id, fp."""
-    fp = F.col("fp")
-    posts = [F.lit(k).cast("long") * (1 << 32) + _unit(fp, a) * 65536 + _unit(fp, b) for k, (a, b) in enumerate(CHOICES)]
-    return fps.select("fp", F.explode(F.array(*posts)).alias("list_id"))
+def _choices(least: int) -> list[int]:
+    return [sum(1 << i for i in c) for c in combinations(range(8), least)]
 
 
-def _kept(pairs: DataFrame) -> DataFrame:
-    """Tally the positional bytes that u and v share, retain from the guaranteed minimum on, verify."""
-    u, v = F.col("u"), F.col("v")
-    shared = reduce(add, [F.when(_byte(u, i) == _byte(v, i), 1).otherwise(0) for i in range(8)])
-    return pairs.where("u < v").where(shared >= LEAST_BYTES).where(F.bit_count(u.bitwiseXOR(v)) <= BITS).select("u", "v")
+def index(fps: DataFrame, start: int = START) -> DataFrame:
+    """The first posting lists: mask (the positions), key (the bytes there), fp."""
+    posts = [F.struct(F.lit(m).alias("mask"), F.col("fp").bitwiseAND(F.lit(_bytes_at(m))).alias("key")) for m in _choices(start)]
+    return fps.select("fp", F.inline(F.array(*posts)))
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints (fp) that connect all that differ in at most two bits."""
+def _longer(members: DataFrame) -> DataFrame:
+    """The lists of one more position that members of long lists (mask, fp) go to."""
+    every = F.array(*(F.lit(_bytes_at(m)) for m in range(256)))
+    further = F.filter(F.array(*(F.lit(1 << i) for i in range(8))), lambda b: F.col("mask").bitwiseAND(b) == 0)
+    deeper = members.select("fp", F.explode(F.transform(further, lambda b: F.col("mask").bitwiseOR(b))).alias("mask")).distinct()
+    return deeper.select("mask", F.col("fp").bitwiseAND(F.element_at(every, F.col("mask") + 1)).alias("key"), "fp")
+
+
+def _by_halves(members: DataFrame) -> DataFrame:
+    """The lists of half bytes (mask, half, key, fp) of members of long lists of six positions: two of the four half bytes left agree."""
+    made = {}
+    for m in _choices(LEAST_BYTES):
+        halves = [8 * i + h for i in range(8) if not m >> i & 1 for h in (0, 4)]
+        made[m] = [_signed((_bytes_at(m) & (1 << 64) - 1) | sum(0xF << h for h in two)) for two in combinations(halves, 2)]
+    bits = F.create_map(*(x for m, v in made.items() for x in (F.lit(m), F.array(*map(F.lit, v)))))
+    each = members.select("mask", "fp", F.posexplode(F.element_at(bits, F.col("mask"))).alias("half", "bits"))
+    return each.select("mask", "half", F.col("fp").bitwiseAND(F.col("bits")).alias("key"), "fp")
+
+
+def _pairs(short: DataFrame, by: list[str]) -> DataFrame:
+    """mask, u, v for each two members of the lists of short, whose length is bounded."""
+    lists = short.groupBy(*by).agg(F.array_sort(F.collect_list("fp")).alias("l"))
+    each = lists.select("mask", "l", F.posexplode("l").alias("i", "u"))
+    return each.select("mask", "u", F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("v"))
+
+
+def candidates(fps: DataFrame, start: int = START, longest: int = PAIR_LIST) -> DataFrame:
+    """u, v, shared: pairs that stand together in a list, with the number of positions of all lists that hold both."""
     shared_dir(fps.sparkSession)
-    posted = index(fps)
-    lists = posted.groupBy("list_id").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1").checkpoint()
-    member = posted.join(lists.where("n > 2").select("list_id", "n"), "list_id")
-    short = member.where(F.col("n") <= PAIR_LIST)
-    found = _kept(lists.where("n = 2")).unionByName(_kept(short.select("list_id", F.col("fp").alias("u")).join(short.select("list_id", F.col("fp").alias("v")), "list_id")))
-    free = [sorted(set(range(4)) - set(c)) for c in CHOICES]
-    masks = F.array(*(F.array(F.lit(0).cast("long"), *(F.expr(f"shiftleft(1L, {16 * unit + bit})") for unit in units for bit in range(16))) for units in free))
-    choice = F.shiftright("list_id", 32).cast("int")
-    near = member.where(F.col("n") > PAIR_LIST).select("list_id", "fp", F.explode(F.element_at(masks, choice + 1)).alias("mask"))
-    near = near.select("list_id", "fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("x"))
-    star = near.groupBy("list_id", "x").agg(F.min("fp").alias("u"), F.max("fp").alias("w"), F.count("*").alias("n")).where("n > 1")
-    # at most 33 members stand around one x; each pair of them differs in two bits or fewer
-    long = near.join(star.select("list_id", "x", "u"), ["list_id", "x"]).select("u", F.col("fp").alias("v"))
-    return found.unionByName(_kept(long)).distinct()
+    found, posted, by = [], index(fps, start), ["mask", "key"]
+    for size in range(start, LEAST_BYTES + 1):
+        lists = posted.groupBy(*by).agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1").checkpoint()
+        found.append(lists.where("n = 2").select("mask", "u", "v"))
+        many = lists.where("n > 2").select(*by, "n")
+        member = posted.join(F.broadcast(many) if many.count() <= MOST_BROADCAST else many, by).checkpoint()
+        found.append(_pairs(member.where(F.col("n") <= longest), by))
+        if lists.where(F.col("n") > longest).isEmpty():
+            break
+        members = member.where(F.col("n") > longest).select("mask", "fp")
+        if size < LEAST_BYTES:
+            posted = _longer(members).checkpoint()
+        else:
+            found.append(_pairs(_by_halves(members), ["mask", "half", "key"]))
+    pairs = reduce(DataFrame.unionByName, found)
+    return pairs.groupBy("u", "v").agg(F.bit_count(F.bit_or("mask")).alias("shared"))
+
+
+def links(fps: DataFrame, least: int = LEAST_BYTES, bits: int = BITS, start: int = START, longest: int = PAIR_LIST) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints (fp) that differ in at most two bits: candidates from the guaranteed minimum on, verified."""
+    pairs = candidates(fps, start, longest).where(F.col("shared") >= least)
+    return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The columns of docs but the text, with fp and component_id: the smallest id reachable over links of two bits or fewer.
+    """The columns of docs but the text, with fp, component_id (the smallest id reachable over links of two bits or fewer) and root.
 
     Null and empty texts have the fingerprint zero and link like any other. Fewer words than a shingle: the whole
     sequence is the one shingle. Null ids link but are never a component's name unless it has no other. Repeated rows
-    stay, each with its component. An empty table gives none.
+    stay, each with its component. Columns of docs named fp, component_id or root give way to these. An empty table gives none.
     """
     shared_dir(docs.sparkSession)
-    fps = fingerprints(docs, text_col).checkpoint()
-    distinct = fps.groupBy("fp").agg(F.min(f"`{id_col}`").alias("_least")).checkpoint()
+    kept = [c for c in docs.columns if c.lower() not in {"fp", "component_id", "root"} - {text_col.lower(), id_col.lower()}]
+    fps = fingerprints(docs.select(*map(quoted, kept)), text_col).checkpoint()
+    least, n = fresh(fps.columns, "_least", "_n")
+    distinct = fps.groupBy("fp").agg(F.min(quoted(id_col)).alias(least), F.count("*").alias(n)).checkpoint()
     roots = components(links(distinct.select("fp"))).withColumnRenamed("u", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("_least").alias("component_id")), "root").select("fp", "component_id", "root")
-    return fps.join(named, "fp")
+    named = rooted.join(rooted.groupBy("root").agg(F.min(least).alias("component_id")), "root").select("fp", "component_id", "root", n).checkpoint()
+    return join_hot(fps, named, "fp", n)
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with one row of each component, the one of smallest id (then of first place in the files)."""
-    placed = row_id(docs)
-    marked = near_duplicates(placed.select(F.col(f"`{text_col}`").alias("_t"), F.col(f"`{id_col}`").alias("_i"), "_file", "_row"), "_t", "_i")
+    """docs with one row of each component, the one of smallest id (then of first place in the files); all columns pass, of any name."""
+    docs = placed(docs)
+    file, row = fresh(docs.columns, "_file", "_row")
+    marked = near_duplicates(row_id(docs.select(quoted(text_col).alias("_t"), quoted(id_col).alias("_i"))), "_t", "_i")
     order = F.struct(F.col("_i").isNull(), F.col("_i"), F.col("_file"), F.col("_row"))
-    kept = marked.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k._file").alias("_file"), F.col("k._row").alias("_row"))
-    return placed.join(kept, ["_file", "_row"], "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = marked.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k._file").alias(file), F.col("k._row").alias(row))
+    return row_id(docs, file, row).join(kept, [file, row], "left_semi").select(*map(quoted, docs.columns))

@@ -62,10 +62,30 @@ def test_links_find_every_component(spark):
     fps |= {rng.getrandbits(64) for _ in range(200)}
     fps = {signed(f) for f in fps}
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    assert simhash.index(df).groupBy("list_id").count().agg(F.max("count")).first()[0] > simhash.PAIR_LIST
-    got = dict(components(simhash.links(df)).collect())
+    assert simhash.index(df).groupBy("mask", "key").count().agg(F.max("count")).first()[0] > simhash.PAIR_LIST
     want = spread(fps)
-    assert {f: got.get(f, f) for f in fps} == want
+    for start, longest in ((simhash.START, simhash.PAIR_LIST), (2, 4), (6, 3)):  # short lists are split down to half bytes
+        got = dict(components(simhash.links(df, start=start, longest=longest)).collect())
+        assert {f: got.get(f, f) for f in fps} == want, (start, longest)
+
+
+def test_tally_equals_the_bytes_that_agree(spark):
+    rng = random.Random(4)
+    base, fps = rng.getrandbits(64), {1, 2, 3}
+    for _ in range(120):
+        x = base
+        for i in rng.sample(range(8), rng.randrange(5)):
+            x ^= rng.randrange(1, 256) << 8 * i
+        fps.add(x)
+    fps = sorted(x - 2**64 if x >= 2**63 else x for x in fps)
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    same = lambda a, b: sum((a >> 8 * i & 255) == (b >> 8 * i & 255) for i in range(8))
+    got = {(r["u"], r["v"]): r["shared"] for r in simhash.candidates(df, longest=len(fps)).collect()}  # no list is split
+    assert all(n == same(u, v) for (u, v), n in got.items() if same(u, v) >= 6)
+    assert {(u, v) for (u, v), n in got.items() if n >= 6} == {(u, v) for i, u in enumerate(fps) for v in fps[i + 1 :] if same(u, v) >= 6}
+    assert any(n < 6 for n in got.values()) and all(n <= same(u, v) for (u, v), n in got.items())  # the count filter has work to do
+    loose = simhash.links(df, least=1, bits=64)
+    assert loose.count() > simhash.links(df, bits=64).count() > simhash.links(df).count()
 
 
 def test_components_of_chains_stars_and_loops(spark):
@@ -84,6 +104,9 @@ def test_edge_cases(spark):
     kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "fp", "lang"]
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 7, 8]
+    clash = df.selectExpr("*", "1 as root", "2 as _file", "3 as ROW_", "4 as _n", "5 as _least", "6 as component_id")
+    assert sorted(((r["doc_id"] or -1), r["component_id"]) for r in simhash.near_duplicates(clash).collect()) == got
+    assert sorted((r["doc_id"], r["root"], r["_file"], r["component_id"]) for r in simhash.keep_one(clash).collect()) == [(i, 1, 2, 6) for i in (1, 3, 7, 8)]
     none = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(none.drop("fp")).count() == 0 and simhash.keep_one(none).count() == 0
 
