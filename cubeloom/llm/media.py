@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, small_batches, stored
+from .common import filesystem, join_hot, scratch, small_batches, stored
 
 WIDTH, SHARD_BYTES, RANGE_BYTES, HEADER_BYTES = 576, 128 << 20, 4 << 20, 33
 MAGIC = b"\x89PNG\r\n\x1a\n"
@@ -65,12 +65,6 @@ def decode_png(data: bytes) -> bytes:
     return rows[:, 1:].tobytes()
 
 
-def _at(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def write_shards(rows: DataFrame, folder: str, width: int = WIDTH) -> DataFrame:
     """Store the column text of rows; doc_id, n_bytes, digest, shard, offset, length. Each action on the result writes anew: store it."""
     small_batches(rows.sparkSession, 500)
@@ -78,7 +72,7 @@ def write_shards(rows: DataFrame, folder: str, width: int = WIDTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        system, base = _at(folder)
+        system, base = filesystem(folder)
         system.create_dir(base, recursive=True)
         out, shard, size, places = None, "", 0, {}
         for batch in batches:
@@ -120,7 +114,7 @@ def _ranged(rows: DataFrame, folder: str, fields: str, f: Callable, names: list[
     """f of the bytes of each row's range, or of its first 33, as further columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = _at(folder)
+        system, base = filesystem(folder)
         file, of = None, None
         for batch in batches:
             found = []

@@ -5,37 +5,60 @@ import numpy as np
 from cubeloom.llm import licenses, search, warc
 
 
+def brute_top_k(queries, candidates, k=5):
+    """(query_id, rank, id, score) by all inner products; a null id is last in a tie."""
+    out = []
+    for q, v in queries:
+        found = [(-int(np.dot(v, w)), i is None, i) for i, w in candidates if w is not None and len(w) == len(v) and i != q]
+        out += [(q, r + 1, i, -s) for r, (s, _, i) in enumerate(sorted(found, key=lambda t: (t[0], t[1], t[2] or 0))[:k])]
+    return sorted(out, key=str)
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     v = np.vstack([rng.integers(-40, 40, (1200, 6)), np.tile(rng.integers(-40, 40, (1, 6)), (700, 1)), rng.integers(-2, 2, (300, 6))])
-    rows = [(int(i), v[i].astype(float).tolist()) for i in range(len(v))] + [(5, v[5].astype(float).tolist()), (None, [1.0] * 6), (9000, None), (9001, [1.0, 2.0]), (9002, [])]
+    rows = [(int(i), v[i].astype(float).tolist()) for i in range(len(v))]
+    rows += [(5, v[5].astype(float).tolist()), (5, v[700].astype(float).tolist()), (50, v[3].astype(float).tolist()), (None, [90.0] * 6), (None, [1.0] * 6), (9000, None), (9001, [1.0, 2.0]), (9002, []), (9003, [])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "id long, vector array<double>, q string, n int")
+    got = search.top_k(df.where("id % 50 = 0 OR id > 9000"), df, ball=300, most=150, most_queries=16).collect()
+    asked = [(i, x) for i, x in rows if i is not None and x is not None and (i % 50 == 0 or i > 9000)]
+    assert sorted(map(tuple, got), key=str) == brute_top_k(asked, rows)
+    assert search.top_k(df.limit(0), df).count() == 0 and search.top_k(df, df.limit(0)).count() == 0
+    assert search.top_k(df.where("id = 60"), df.where("id < 3")).count() == 3
+
+
+def test_pairs_of_fragments_are_dropped_by_their_radii(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.integers(-400, 400, (24, 8))
+    v = np.vstack([c + rng.integers(-3, 4, (60, 8)) for c in centres])
+    rows = [(int(i), x.astype(float).tolist()) for i, x in enumerate(v)]
     df = spark.createDataFrame(rows, "id long, vector array<double>")
-    search.QUERY_FRAGMENT, search.FRAGMENT = 16, 500
-    got = {}
-    for r in search.top_k(df.where("id % 50 = 0 OR id > 9000"), df).collect():
-        got.setdefault(r["query_id"], {})[r["rank"]] = (r["id"], r["score"])
-    for q in range(0, len(v), 50):
-        s = v @ v[q]
-        want = sorted((-int(x), i) for i, x in enumerate(s) if i != q)[:5]
-        assert [got[q][k] for k in range(1, 6)] == [(i, -x) for x, i in want]
-    assert 9001 not in got and 9002 not in got and 9000 not in got
-    assert search.top_k(df.limit(0), df).count() == 0 and search.top_k(df.where("id = 50"), df.where("id < 3")).count() == 3
-
-
-def test_cover_tree_covers():
-    v = np.random.default_rng(6).normal(size=(2000, 5))
-    seen = []
-
-    def walk(n):
-        assert np.sqrt(((v[n.rows] - n.centre) ** 2).sum(axis=1)).max() <= n.radius + 1e-9
-        assert not n.children or sorted(np.concatenate([c.rows for c in n.children])) == sorted(n.rows)
-        if not n.children:
-            seen.extend(n.rows)
-        for c in n.children:
-            walk(c)
-
-    walk(search.cover_tree(v))
-    assert sorted(seen) == list(range(2000))
+    pairs = []
+    plain = search.search_pairs
+    search.search_pairs = lambda p, *rest: pairs.append(p.count()) or plain(p, *rest)
+    try:
+        got = search.top_k(df.where("id % 7 = 0"), df, ball=60).collect()
+    finally:
+        search.search_pairs = plain
+    assert sorted(map(tuple, got), key=str) == brute_top_k([r for r in rows if r[0] % 7 == 0], rows)
+    fragments = pairs[0]
+    assert fragments > 10 and sum(pairs) < 0.5 * fragments * fragments
+
+
+def test_cover_tree_invariants():
+    rng = np.random.default_rng(6)
+    for v in (rng.normal(size=(2000, 5)), np.tile(rng.normal(size=(1, 5)), (700, 1)), (1.3 ** np.arange(900.0))[:, None] * np.ones((1, 2)), np.zeros((3, 0))):
+        t = search.cover_tree(v, leaf=20, fanout=6)
+        assert sorted(t.rows) == list(range(len(v))) and np.array_equal(v[t.rows], t.points)
+        far = lambda x, y: np.sqrt(((x - y) ** 2).sum(axis=-1))
+        for i in range(len(t.lo)):
+            assert far(t.points[t.lo[i] : t.hi[i]], t.centres[i]).max() <= t.radius[i] * (1 + 1e-9)
+            c = t.children(i)
+            if c:
+                assert t.lo[c[0]] == t.lo[i] and [t.hi[x] for x in c[:-1]] == [t.lo[x] for x in c[1:]] and t.hi[c[-1]] == t.hi[i]
+                assert t.centre[c[0]] == t.centre[i]  # nesting
+                assert all(t.radius[x] <= t.scale[i] * (1 + 1e-9) for x in c)  # covering
+                assert all(far(t.centres[x], t.centres[y]) >= t.scale[i] * (1 - 1e-9) for x in c for y in c if x < y)  # separation
 
 
 def test_units(spark):
