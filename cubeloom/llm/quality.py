@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches
+from .common import fold, fresh, small_batches
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "distinct_words", "repeated_neighbours", "lines_distinct", "line_words", "upper", "digits", "stops",
@@ -110,12 +110,11 @@ def _tree(x: np.ndarray, bins: np.ndarray, edges: list[np.ndarray], gradient: np
 
 
 def _lasso(a: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic weights with an L1 penalty (none on the intercept), by accelerated proximal steps."""
-    n, m = a.shape
-    full = np.hstack([a, np.ones((n, 1))])
+    """Logistic weights with an L1 penalty (none on the intercept, the last column of a), by accelerated proximal steps."""
+    n, m = a.shape[0], a.shape[1] - 1
     v = np.ones(m + 1)
     for _ in range(30):
-        v = full.T @ (full @ v)
+        v = a.T @ (a @ v)
         norm = np.linalg.norm(v)
         v /= norm
     step = 4 * n / norm
@@ -124,16 +123,16 @@ def _lasso(a: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> t
     w[m] = math.log(share / (1 - share))
     u, t = w.copy(), 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(full @ u, -30, 30)))
-        new = u - step * (full.T @ (p - y)) / n
+        p = 1 / (1 + np.exp(-np.clip(a @ u, -30, 30)))
+        new = u - step * (a.T @ (p - y)) / n
         new[:m] = np.sign(new[:m]) * np.maximum(np.abs(new[:m]) - step * penalty, 0)
         t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
         u, w, t = new + (t - 1) / t2 * (new - w), new, t2
     return w[:m], float(w[m])
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty: float = 5e-4, most_rules: int = 400) -> Rules:
-    """Rules from labelled statistics. Without rows the score is 0.5; with one label only, near that label."""
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty: float = 5e-4) -> Rules:
+    """Rules from labelled statistics: every path of every tree is one. Without rows the score is 0.5; with one label only, near that label."""
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1.0)
         return Rules(math.log(share / (1 - share)))
@@ -149,10 +148,11 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty:
             found.setdefault(frozenset(bounds), (bounds, rows))
             if level == depth or not any(set(bounds) < set(b) for b, *_ in nodes):
                 z[rows] += 0.3 * value
-    rules = list(found.values())[:most_rules]
+    rules = list(found.values())
     if not rules:
         return Rules(math.log(y.mean() / (1 - y.mean())))
-    a = np.zeros((len(y), len(rules)))
+    a = np.zeros((len(y), len(rules) + 1), np.float32)
+    a[:, -1] = 1.0  # for the intercept
     for k, (_, rows) in enumerate(rules):
         a[rows, k] = 1.0
     w, b = _lasso(a, y, penalty)
@@ -171,10 +171,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Rules:
 
 
 def score(docs: DataFrame, model: Rules, into: str = "score") -> DataFrame:
-    """docs with the column `into`: 0 to 1, higher where label 1 is likelier.
+    """docs with the column `into`: 0 to 1, higher where label 1 is likelier; a column of that name gives way.
 
     Null and empty texts have statistics of zero and a score like any other; ids and other columns play no part, nulls and
     repeated rows stay as they are. An empty table gives none. The whole text counts.
     """
     small_batches(docs.sparkSession)
-    return docs.withColumn("_statistics", statistics("text")).withColumn(into, model.column("_statistics")).drop("_statistics")
+    (held,) = fresh([*docs.columns, into], "_statistics")
+    return docs.withColumn(held, statistics("text")).withColumn(into, model.column(held)).drop(held)

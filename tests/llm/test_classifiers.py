@@ -8,7 +8,7 @@ from cubeloom.llm.common import fold, read
 SF = "/root/testdata/sf0.01"
 
 
-def plain_kernel(s, t, n=3, decay=0.6):
+def plain_kernel(s, t, n=3, decay=toxicity.DECAY):
     from itertools import combinations
 
     total = 0.0
@@ -25,6 +25,36 @@ def test_subsequence_kernel_equals_its_definition():
     assert np.allclose(got, [plain_kernel(*p) for p in pairs])
 
 
+def test_kernel_with_landmarks_equals_its_definition(monkeypatch):
+    strings = ["idiot", "scum", "banana", "éaéoé"]
+    words = ["idiot", "i.d", "ixdxixoxt", "ab", "", "éoaé", "xyz", "scuscum", "ana" * 10]
+    want = [[plain_kernel(w, t) for t in strings] for w in words]
+    assert np.allclose(toxicity.Landmarks(strings).values(words), want)
+    monkeypatch.setattr(toxicity.Landmarks, "most_table", 0)  # the way for large alphabets
+    assert np.allclose(toxicity.Landmarks(strings).values(words), want)
+    model = toxicity.Model(strings)
+    assert np.allclose(np.diag(model.values(strings)), 1)
+    for w in words:
+        k = toxicity.NOT_LETTER.sub("", w)
+        if len(k) < 33:
+            norm = [np.sqrt(sum(toxicity.DECAY ** (2 * (j - i + 1)) * (j - i - 1) for i in range(len(x)) for j in range(i + 2, len(x))) or 1) for x in (k, *strings)]
+            plain = [(plain_kernel(k, t) / norm[0] / (plain_kernel(t, t) / norm[j + 1])) ** toxicity.POWER for j, t in enumerate(strings)]
+            assert np.allclose(model.values([w])[0], plain if k else 0)
+    model.learn({"alpha", "idiot"})
+    model.learn(set(words), most=5)  # what was kept makes room
+    assert all(np.allclose(model.rows[model.known[w]], model.values([w])[0], atol=1e-5) for w in words)
+
+
+def test_landmarks_are_counted_alike_in_parts(monkeypatch):
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 9))) for _ in range(400)]
+    clean = [set(rng.choice(words, 30).tolist()) for _ in range(60)]
+    toxic = [set(rng.choice(words, 30).tolist()) | {["zorkling", "vexmuff", "grumbolt"][i % 3]} for i in range(60)]
+    whole = toxicity.choose_landmarks(toxic, clean)
+    monkeypatch.setattr(toxicity, "COUNTED", 50)
+    assert whole and toxicity.choose_landmarks(toxic, clean) == whole
+
+
 def test_toxicity_holds_out(spark):
     docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
     model = toxicity.train(docs, labels)
@@ -42,8 +72,8 @@ def test_toxicity_finds_gapped_and_padded_insults():
     texts = [make() for _ in range(300)] + [make(insults[i % 3]) for i in range(90)]
     model = toxicity.fit(texts, [0] * 300 + [1] * 90)
     clean = model.scores([make() for _ in range(100)])
-    assert (clean < 0.5).mean() > 0.97
-    for bad in (*insults, "w-r-e-t-c-h-l-i-n-g", "gob.snik", "dunderrfop", "GOBSNIK", "d u n d e r f o p", "wretchxling"):
+    assert (clean < 0.5).mean() > 0.97 and len(set(clean.round(9))) > 50  # a text without any landmark has its own score
+    for bad in (*insults, "w-r-e-t-c-h-l-i-n-g", "gob.snik", "dunderrfop", "GOBSNIK", "d u n d e r f o p", "wretchxling", "dunderfp", "goxbsnik"):
         assert model.scores([make(bad)])[0] > 0.5, bad
 
 
@@ -59,12 +89,15 @@ def test_edge_cases(spark, module):
     one = module.train(docs, spark.createDataFrame([(1, 1, 0), (2, 1, 0), (4, None, None), (None, 0, 1)], none.schema))
     assert module.score(docs, one).count() == 6
     assert module.score(spark.createDataFrame([], schema), model).count() == 0
+    clash = docs.selectExpr("*", "1 as _statistics", "2 as label", "'x' as score")
+    some = module.score(clash, one).collect()
+    assert all(r["_statistics"] == 1 and r["label"] == 2 and 0 <= r["score"] <= 1 for r in some) and len(some) == 6
 
 
 def test_quality_rules_equal_their_column(spark):
     docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
     model = quality.train(docs, labels)
-    assert 0 < len(model.rules) < 200
+    assert 0 < len(model.rules) < 300
     rows = quality.score(docs, model).join(labels, "doc_id").select("doc_id", "text", "quality", "score", (fold(F.col("doc_id"), 4) == 2).alias("held")).collect()
     held = [r for r in rows if r["held"]]
     assert sum((r["score"] >= 0.7) == bool(r["quality"]) for r in held) / len(held) > 0.95
