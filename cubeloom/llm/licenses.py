@@ -34,6 +34,8 @@ NOTICES = (
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
 K, REACH, COVER = 2, 2, 0.8
+#: Notices of LONG k-grams or more may drift further: words inserted at several places add up.
+LONG, LONG_REACH = 12, 6
 
 
 def words(text: Column) -> Column:
@@ -77,12 +79,12 @@ def votes(docs: DataFrame, base: tuple = BASE, notices: tuple = NOTICES, k: int
 
 
 def spans(voted: DataFrame, base: tuple = BASE, notices: tuple = NOTICES, k: int = K, reach: int = REACH) -> DataFrame:
-    """voted with cover: the share of the template's k-grams on a diagonal and those up to `reach` beside it, and exact: all on the one diagonal."""
+    """voted with cover: the share of the template's k-grams on a diagonal and those up to `reach` (long templates: LONG_REACH) beside it, and exact: all on the one diagonal."""
     about = F.create_map(*(x for i, (t, _) in enumerate([*base, *notices]) for x in (F.lit(i), F.lit(len(t.split()) - k + 1))))
-    near = Window.partitionBy("_id", "template").orderBy("diagonal").rangeBetween(-reach, reach)
+    near, far = (Window.partitionBy("_id", "template").orderBy("diagonal").rangeBetween(-r, r) for r in (reach, max(reach, LONG_REACH)))
     n = F.element_at(about, F.col("template"))
     real = F.col("template") >= 0
-    return voted.withColumn("merged", F.bit_or("places").over(near)).select(
+    return voted.withColumn("merged", F.when(n >= LONG, F.bit_or("places").over(far)).otherwise(F.bit_or("places").over(near))).select(
         "_id", "doc_id", "n_words", "template", "diagonal",
         F.when(real, F.bit_count("merged") / n).otherwise(0.0).alias("cover"),
         F.when(real, F.bit_count("places") == n).otherwise(False).alias("exact"),

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, join_hot, scratch, small_batches, stored
+from .common import HOT_PART, filesystem, scratch, small_batches, stored
 
 WIDTH, SHARD_BYTES, RANGE_BYTES, HEADER_BYTES = 576, 128 << 20, 4 << 20, 33
 MAGIC = b"\x89PNG\r\n\x1a\n"
@@ -66,7 +66,10 @@ def decode_png(data: bytes) -> bytes:
 
 
 def write_shards(rows: DataFrame, folder: str, width: int = WIDTH) -> DataFrame:
-    """Store the column text of rows; doc_id, n_bytes, digest, shard, offset, length. Each action on the result writes anew: store it."""
+    """Store the column text of rows; doc_id, n_bytes, digest, shard, offset, length. Each action on the result writes anew: store it.
+
+    A null text is stored as an empty one; null ids and repeated rows keep their rows; other columns play no part; no rows, no shard.
+    """
     small_batches(rows.sparkSession, 500)
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
@@ -105,9 +108,13 @@ def write_shards(rows: DataFrame, folder: str, width: int = WIDTH) -> DataFrame:
 
 
 def objects(index: DataFrame) -> DataFrame:
-    """The distinct payloads of an index: digest and its one place, dealt out by ranges of shards, in order of place."""
-    one = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.*")
-    return one.repartition("shard", F.floor(F.col("offset") / RANGE_BYTES)).sortWithinPartitions("shard", "offset")
+    """The distinct payloads of an index: digest, its one place, and the number n of its rows."""
+    return index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p"), F.count("*").alias("n")).select("digest", "p.*", "n")
+
+
+def in_ranges(rows: DataFrame) -> DataFrame:
+    """Rows dealt out by ranges of shards, in order of place."""
+    return rows.repartition("shard", F.floor(F.col("offset") / RANGE_BYTES)).sortWithinPartitions("shard", "offset")
 
 
 def _ranged(rows: DataFrame, folder: str, fields: str, f: Callable, names: list[str], whole: bool) -> DataFrame:
@@ -134,12 +141,19 @@ def _ranged(rows: DataFrame, folder: str, fields: str, f: Callable, names: list[
 
 
 def fill_metadata(rows: DataFrame, folder: str) -> DataFrame:
-    """width, height and depth of each row's media, from its first 33 bytes only."""
+    """width, height and depth of each row's media, from its first 33 bytes only.
+
+    rows: shard, offset, length (none null) and other columns, which pass, but not width, height or depth. Repeated rows
+    are each read; bytes that are no header of a stored payload are an error, not a row without metadata.
+    """
     return _ranged(rows, folder, "width long, height long, depth long", decode_header, ["width", "height", "depth"], whole=False)
 
 
 def features(rows: DataFrame, folder: str) -> DataFrame:
-    """Of the stored bytes read back: the payload's size, digest and tail checksum, the media's digest, and a histogram feature."""
+    """Of the stored bytes read back: the payload's size, digest and tail checksum, the media's digest, and a histogram feature.
+
+    Takes rows as fill_metadata does; media that do not unpack to their header's size are an error.
+    """
 
     def of(data: bytes) -> tuple:
         payload = decode_png(data)
@@ -161,5 +175,9 @@ def media(docs: DataFrame, folder: str | None = None, width: int = WIDTH) -> Dat
     spark = docs.sparkSession
     folder = folder or scratch(spark, "media")
     index = stored(write_shards(docs.select("doc_id", "text"), folder, width), "media-index")
-    known = features(fill_metadata(objects(index), folder), folder)
-    return index.select("doc_id", "n_bytes", "digest").join(known, "digest")
+    own, hot = index.select("doc_id", "n_bytes", "digest"), F.col("n") > max(1, index.count() * HOT_PART)
+    read_back = lambda some: features(fill_metadata(in_ranges(some.drop("n")), folder), folder)
+    # payloads of more than HOT_PART of all rows are at most 1 / HOT_PART: these meet their rows by broadcast
+    many = objects(index).where(hot)
+    rest = own.join(F.broadcast(many.select("digest")), "digest", "left_anti").join(read_back(objects(index).where(~hot)), "digest")
+    return rest.unionByName(own.join(F.broadcast(read_back(many)), "digest"))

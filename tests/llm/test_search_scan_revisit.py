@@ -126,3 +126,32 @@ def test_warc_files(spark, tmp_path):
     records = warc.read_warc(spark, str(tmp_path)).cache()
     done = {r["id"]: r for r in warc.fetch(warc.resolve(records), records).collect()}
     assert bytes(done["<urn:uuid:b>"]["payload"]) == b"<p>\r\n\r\nhi</p>" and done["<urn:uuid:b>"]["outcome"] == "resolved"
+
+
+def test_warc_files_that_are_cut_or_odd(spark, tmp_path):
+    one = warc.write_record("response", "http://a.org/", "2024-01-01T00:00:00Z", {"ETag": '"1"', "etag": '"2"'}, b"whole", "a")
+    plain = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: n\r\nWARC-Date: soon\r\n\r\nHTTP/1.1 200 OK\r\nA: 1\r\n\r\nno length\r\n\r\n"
+    plain += b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: m\r\nContent-Length: 9000\r\nWARC-Date: 2024-01-01T00:00:00\r\n\r\nHTTP/1.1 200 OK\r\n\r\ncut"
+    assert [r[0] for r in warc.parse(one + one[: len(one) // 2])][0] == "<urn:uuid:a>"
+    found = list(warc.parse(plain))
+    assert [(r[0], r[2], r[5], r[6]) for r in found] == [("n", None, {"a": "1"}, b"no length"), ("m", 1704067200, {}, b"cut")]
+    assert list(warc.parse(iter([plain[i : i + 7] for i in range(0, len(plain), 7)]))) == found
+    assert list(warc.parse(b"")) == list(warc.parse(b"WARC/1.0\r\nContent-")) == list(warc.parse(b"\x1f\x8bnot gzip")) == []
+    (tmp_path / "a.warc.gz").write_bytes(one * 3 + one[:40])
+    (tmp_path / "b.warc").write_bytes(plain)
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    assert sorted(r["id"] for r in rows) == ["<urn:uuid:a>"] * 3 + ["m", "n"] and {r["headers"].get("etag") for r in rows} == {'"1", "2"', None}
+
+
+def test_revisits_with_clashing_and_missing_values(spark):
+    rows = [(1, "http://a/x", 1, "response", 200, {"ETag": "1", "etag": "1", "X": None}, "d", "k", b"p"), (2, "http://a/x", 2, "revisit", 304, {"etag": "1"}, None, "k", None), (2, "http://a/x", 3, "revisit", 304, None, "d", "k", None)]
+    rows += [(None, None, None, "revisit", None, None, None, None, None)] * 3 + [(4, "http://a/x", None, "revisit", 304, {"etag": "1"}, None, "k", None)]
+    df = spark.createDataFrame(rows, "id long, url string, at long, kind string, status int, headers map<string,string>, digest string, key string, payload binary")
+    df = df.selectExpr("*", "1 as _stretch", "2 as row", "3 as outcome", "4 as canonical_url", "5 as _of", "6 as base", "7 as `a.b`")
+    done = warc.resolve(df)
+    assert len(set(done.columns)) == len(done.columns)
+    got = done.collect()
+    assert sorted((r["id"] or 0, r["at"] or 0, r["outcome"]) for r in got) == [(0, 0, "missing")] * 3 + [(1, 1, "response"), (2, 2, "resolved"), (2, 3, "resolved"), (4, 0, "missing")]
+    assert all((r["_stretch"], r["row"], r["_of"], r["base"], r["a.b"]) == (1, 2, 5, 6, 7) for r in got)
+    fetched = warc.fetch(done, df)
+    assert fetched.count() == len(rows) and sum(r["payload"] == b"p" for r in fetched.collect()) == 3
