@@ -2,6 +2,10 @@
 
 Each stage is a function of (spark, docs, sf_dir) that calls one operator over all that its predecessor kept; all but the
 last return the columns of documents. Between stages the rows are written as Parquet and read again.
+
+Every stage takes nulls in any column (a null or empty text is a text without words; a null id is no labelled row), texts
+of any length, repeated rows (each is scored, linked, mixed and packed) and empty tables (the result is empty). Further
+columns pass, of any name, up to the last stage, whose columns are those of the pieces.
 """
 
 from __future__ import annotations
@@ -10,19 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.llm import mixing, packing, quality, simhash, toxicity
-from cubeloom.llm.common import read, stored
+from cubeloom.llm.common import fresh, quoted, read, stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble scores below 0.7 go."""
     model = quality.train(docs, read(spark, sf_dir, "labels"))
-    return quality.score(docs, model, "__score").where(F.col("__score") >= 0.7).select(*(F.col(f"`{c}`") for c in docs.columns))
+    (score,) = fresh(docs.columns, "score")
+    return quality.score(docs, model, score).where(F.col(score) >= 0.7).select(*map(quoted, docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the string-kernel machine scores at 0.5 or more go."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, "__score").where(F.col("__score") < 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
+    (score,) = fresh(docs.columns, "score")
+    return toxicity.score(docs, model, score).where(F.col(score) < 0.5).select(*map(quoted, docs.columns))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
