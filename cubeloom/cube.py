@@ -18,7 +18,8 @@ class ValidationError(ValueError):
 class Cube:
     """df holds the dimensions as key columns and the variables as value columns; a missing value is null.
 
-    sides: frames of variables that have fewer dimensions, by their dimensions. Attributes stay on the driver.
+    sides: frames of variables that have fewer dimensions, by their dimensions. Attributes stay on the driver. axes: sorted
+    labels of dimensions where an operation made them and so knows them; another frame is taken to have others.
     """
 
     df: DataFrame
@@ -27,6 +28,7 @@ class Cube:
     attrs: dict[str, Any] = field(default_factory=dict)
     coord_attrs: dict[str, dict[str, Any]] = field(default_factory=dict)
     sides: dict[tuple[str, ...], DataFrame] = field(default_factory=dict)
+    axes: dict[str, list[Any]] = field(default_factory=dict)
 
     @classmethod
     def of(cls, df: DataFrame, dims: tuple[str, ...] | list[str], variables: list[str] | None = None, attrs: dict | None = None) -> Cube:
@@ -42,7 +44,7 @@ class Cube:
     def on(self, df: DataFrame, variables: list[str] | None = None, dims: tuple[str, ...] | None = None) -> Cube:
         """The cube with another frame and the variables it has."""
         names = list(self.vars) if variables is None else variables
-        return replace(self, df=df, vars={n: self.vars.get(n, {}) for n in names}, dims=self.dims if dims is None else dims)
+        return replace(self, df=df, vars={n: self.vars.get(n, {}) for n in names}, dims=self.dims if dims is None else dims, axes={})
 
     def require(self, *dims: str) -> None:
         for d in dims:
@@ -57,11 +59,15 @@ class Cube:
         return self.df.select(dim).where(F.col(dim).isNotNull()).distinct()
 
     def extent(self, dim: str) -> tuple[Any, Any]:
+        if self.axes.get(dim):
+            return self.axes[dim][0], self.axes[dim][-1]
         low, high = self.df.agg(F.min(dim), F.max(dim)).first()
         return low, high
 
     def labels(self, dim: str, most: int = 1_000_000) -> list[Any]:
         """The sorted labels of an axis, on the driver; an axis of more than `most` labels is refused, not cut."""
+        if dim in self.axes:
+            return list(self.axes[dim])
         rows = self.coord(dim).limit(most + 1).collect()
         if len(rows) > most:
             raise ValidationError(f"the axis {dim!r} has more than {most} labels")

@@ -1,4 +1,4 @@
-"""Exact quantiles of a column of any length, by narrowing histograms."""
+"""Exact quantiles of columns of any length, by narrowing histograms."""
 
 from __future__ import annotations
 
@@ -7,55 +7,64 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BINS, FEW = 2048, 50_000
+BINS = 2048
 
 
 def exact_quantiles(df: DataFrame, x: Column, levels: list[float]) -> list[float | None]:
-    """Linearly interpolated quantiles. Each pass counts the values of a range in bins; the range narrows to the bin that
-    holds the rank, until few values are left; these are sorted. No task holds more than the bins or the few."""
-    values = df.select(x.cast("double").alias("x")).where(F.col("x").isNotNull())
-    n, low, high = values.agg(F.count("*"), F.min("x"), F.max("x")).first()
-    if not n:
-        return [None] * len(levels)
-    known: dict[int, float] = {0: low, n - 1: high}
-
-    def at(rank: int) -> float:
-        if rank in known:
-            return known[rank]
-        a, b, below = low, high, 0
-        while True:
+    """Linearly interpolated quantiles of one column."""
+    return quantiles_of(df, {"x": x}, levels)["x"]
+
+
+def quantiles_of(df: DataFrame, columns: dict[str, Column], levels: list[float]) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles of several columns, all in the same passes over df.
+
+    Each pass counts the values of some ranges in bins; a range narrows to the bins that hold the wanted ranks, until
+    these hold one value each. Two or three passes are common; no task and no pass holds more than the ranges' bins.
+    """
+    names = list(columns)
+    if not names:
+        return {}
+    values = df.select(*(columns[v].cast("double").alias(f"x{i}") for i, v in enumerate(names)))
+    ends = values.agg(*(f for i in range(len(names)) for f in (F.count(f"x{i}"), F.min(f"x{i}"), F.max(f"x{i}")))).first()
+    size = [ends[3 * i] for i in range(len(names))]
+    known: list[dict[int, float]] = [{} for _ in names]
+    # (column, from, to, values below, ranks)
+    ranges: list[tuple[int, float, float, int, list[int]]] = []
+    for i in range(len(names)):
+        ranks = sorted({k for q in levels for k in (math.floor(q * (size[i] - 1)), min(math.floor(q * (size[i] - 1)) + 1, size[i] - 1))}) if size[i] else []
+        ranges.append((i, ends[3 * i + 1], ends[3 * i + 2], 0, ranks))
+    while True:
+        for i, a, b, _, ranks in ranges:
             if a == b:
-                known[rank] = a
-                return a
-            width = (b - a) / BINS
-            if n <= FEW or width <= math.ulp(max(abs(a), abs(b))):
-                rows = values.where(F.col("x").between(a, b)).groupBy("x").count().orderBy("x").collect()
-                for r in rows:
-                    below += r["count"]
-                    if rank < below:
-                        known[rank] = r["x"]
-                        return r["x"]
-            inside = values.where(F.col("x").between(a, b))
-            k = F.least(F.floor((F.col("x") - a) / width), F.lit(BINS - 1))
-            bins = inside.groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy("k").collect()
-            for r in bins:
-                if rank < below + r["n"]:
-                    break
+                known[i].update(dict.fromkeys(ranks, a))
+        ranges = [r for r in ranges if r[1] != r[2] and r[4]]
+        if not ranges:
+            break
+        each = []
+        for k, (i, a, b, _, _) in enumerate(ranges):
+            x, width = F.col(f"x{i}"), b / BINS - a / BINS
+            # where bins would be too narrow to tell doubles apart there are few of these: each is its own bin
+            place = x if width <= 4 * math.ulp(max(abs(a), abs(b))) else F.least(F.floor((x - a) / width), F.lit(BINS - 1)).cast("double")
+            if not math.isfinite(width):  # an end is infinite: the ends and what is between
+                place = F.when(x == a, 0.0).when(x == b, 2.0).otherwise(1.0)
+            each.append(F.when(x.between(a, b), F.struct(F.lit(k).alias("range"), place.alias("bin"), x.alias("x"))))
+        rows = values.select(F.inline(F.array_compact(F.array(*each)))).groupBy("range", "bin").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy("range", "bin").collect()
+        narrower = []
+        for k, (i, _, _, below, ranks) in enumerate(ranges):
+            for r in (r for r in rows if r["range"] == k):
+                inside = [x for x in ranks if below <= x < below + r["n"]]
+                if inside:
+                    narrower.append((i, r["a"], r["b"], below, inside))
                 below += r["n"]
-            if r["n"] <= FEW:
-                rows = values.where(F.col("x").between(r["a"], r["b"])).groupBy("x").count().orderBy("x").collect()
-                for v in rows:
-                    below += v["count"]
-                    if rank < below:
-                        known[rank] = v["x"]
-                        return v["x"]
-            a, b = r["a"], r["b"]
-
-    out = []
-    for q in levels:
-        place = q * (n - 1)
-        i = math.floor(place)
-        lower = at(i)
-        upper = at(min(i + 1, n - 1))
-        out.append(lower + (upper - lower) * (place - i))
+        ranges = narrower
+    out = {}
+    for i, v in enumerate(names):
+        out[v] = []
+        for q in levels:
+            if not size[i]:
+                out[v].append(None)
+                continue
+            place = q * (size[i] - 1)
+            low = known[i][math.floor(place)]
+            out[v].append(low + (known[i][min(math.floor(place) + 1, size[i] - 1)] - low) * (place - math.floor(place)))
     return out

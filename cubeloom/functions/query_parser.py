@@ -28,7 +28,8 @@ def geometry_test(name: str, region: Geometry, column: str = "geometry", crs: st
     if shape is None:
         return F.lit(False)
     g = F.col(column)
-    return F.coalesce((g["type"] == "Point") & POINT_TESTS[name](x_of(g), y_of(g), shape), F.lit(False))
+    other = F.raise_error(F.concat(F.lit("geometry tests take points, not "), g["type"])).cast("boolean")  # never a silent no
+    return F.when(g.isNull() | g["type"].isNull(), False).when(g["type"] == "Point", F.coalesce(POINT_TESTS[name](x_of(g), y_of(g), shape), F.lit(False))).otherwise(other)
 
 
 def parse_query(expression: str, df: DataFrame, names: dict | None = None, crs: str | None = None) -> Column:

@@ -113,7 +113,8 @@ def climatology(ds: Cube, var: Any = None) -> Cube:
     if resolution == "P1M":
         by = ds.df.groupBy(F.month(t).alias("_month"), *rest).agg(*mean)
         df = by.select(F.make_date(F.lit(low.year), "_month", F.lit(1)).cast("timestamp_ntz").alias("time"), *rest, *names)
-        return ds.on(df, names).with_(attrs={**attrs, "climatology_bounds": (low, high)})
+        months = {"time": [datetime(low.year, m, 1) for m in sorted({t.month for t in ds.axes["time"]})]} if ds.axes.get("time") else {}
+        return ds.on(df, names).with_(attrs={**attrs, "climatology_bounds": (low, high)}, axes=months)
     steps = ds.coord("time").groupBy(F.year(t).alias("y")).agg(F.sort_array(F.collect_set(F.struct(F.month(t).alias("m"), F.day(t).alias("d")))).alias("s")).orderBy("y").collect()
     sets = {r["y"]: {tuple(x) for x in r["s"]} for r in steps}
     years = sorted(sets)
@@ -169,4 +170,4 @@ def temporal_aggregation(ds: Cube, method: str = "mean", period: str = "MS") ->
         cells = ds.df.select(*rest).distinct() if rest else None
         grid = F.broadcast(gaps).crossJoin(cells) if cells is not None else gaps  # few labels, each for every cell
         df = df.unionByName(grid.select("time", *rest, *(empty.cast(df.schema[v].dataType).alias(v) for v in names)))
-    return ds.on(df).with_(attrs={**ds.attrs, "time_coverage_resolution": f"P{period}"})
+    return ds.on(df).with_(attrs={**ds.attrs, "time_coverage_resolution": f"P{period}"}, axes={"time": expected})

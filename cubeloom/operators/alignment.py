@@ -154,4 +154,4 @@ def _spline(ds: Cube, tp: list[datetime], tr: list[datetime], degree: int):
         return pd.DataFrame(out)
 
     fields = ", ".join(["time timestamp_ntz", *(f"{d} {types[d]}" for d in rest), *(f"{v} double" for v in names)])
-    return (ds.df.groupBy(*rest) if rest else ds.df.groupBy(F.lit(0))).applyInPandas(run, fields)
+    return ds.df.groupBy(*rest).applyInPandas(run, fields)

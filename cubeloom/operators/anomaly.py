@@ -27,7 +27,8 @@ def anomaly_external(ds: Cube, reference: Any, transform: str | None = None) ->
     if "month" not in ref.columns:
         if "time" not in ref.columns:
             raise ValidationError("the reference has neither month nor time")
-        steps = sorted(r[0] for r in ref.select("time").distinct().limit(13).collect())
+        known = reference.axes.get("time") if isinstance(reference, Cube) else None
+        steps = known or sorted(r[0] for r in ref.select("time").distinct().limit(13).collect())
         if len(steps) != 12:
             raise ValidationError("the reference must have twelve time steps")
         months = ref.sparkSession.createDataFrame(list(zip(steps, range(1, 13))), f"time {ref.schema['time'].dataType.simpleString()}, month int")

@@ -67,6 +67,6 @@ def gapfill(ds: Cube, kernel: Any = None) -> Cube:
         return pd.DataFrame(out)
 
     fields = ", ".join([*(f"{d} {types[d]}" for d in rest), "lat double", "lon double", *(f"{v} double" for v in names)])
-    grouped = ds.df.groupBy(*rest) if rest else ds.df.groupBy(F.lit(0))
+    grouped = ds.df.groupBy(*rest)
     df = grouped.applyInPandas(run, fields)
     return ds.on(df.select(*rest, "lat", "lon", *(F.when(~F.isnan(v), F.col(v)).alias(v) for v in names)), names, (*rest, "lat", "lon"))

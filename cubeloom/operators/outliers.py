@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import functions as F
 
 from ..cube import Cube, ValidationError
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import quantiles_of
 from ..likes import VarNamesLike
 from ..op import op
 
@@ -19,7 +19,7 @@ def detect_outliers(ds: Cube, var: Any, threshold_low: float = 0.05, threshold_h
     names = VarNamesLike.pick(var, list(ds.vars))
     if quantiles and not 0 <= threshold_low <= threshold_high <= 1:
         raise ValidationError("quantile thresholds must be between 0 and 1")
-    limits = {v: exact_quantiles(ds.df, F.col(v), [threshold_low, threshold_high]) if quantiles else [threshold_low, threshold_high] for v in names}
+    limits = quantiles_of(ds.df, {v: F.col(v) for v in names}, [threshold_low, threshold_high]) if quantiles else dict.fromkeys(names, [threshold_low, threshold_high])
     good = {v: (F.col(v) > limits[v][0]) & (F.col(v) < limits[v][1]) if None not in limits[v] else F.lit(False) for v in names}
     if not mask:
         return ds.on(ds.df.select(*ds.dims, *(F.when(good[v], F.col(v)).alias(v) if v in names else F.col(v) for v in ds.vars)))

@@ -156,7 +156,7 @@ def _spline(cells: DataFrame, shape: tuple[int, int], out: tuple[int, int], orde
         return pd.DataFrame({**{g: [part[g].iloc[0]] * len(iy) for g in group}, "iy": iy, "ix": ix, "v": made.ravel()})
 
     fields = ", ".join([*(f"{g} {types[g]}" for g in group), "iy int, ix int, v double"])
-    made = (cells.groupBy(*group) if group else cells.groupBy(F.lit(0))).applyInPandas(run, fields)
+    made = cells.groupBy(*group).applyInPandas(run, fields)
     return made.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
 
 

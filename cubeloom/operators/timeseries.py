@@ -67,7 +67,7 @@ def fourier_analysis(ds: Cube, var: Any = None, compute_frequencies: bool = True
 
     fields = [*(f"{d} {types[d]}" for d in rest), "k long", *(["frequency double"] if compute_frequencies else []), *(f"{v}_{x} double" for v in names for x in ("ampl", "phase"))]
     df = ds.df.select("time", *rest, *names)
-    found = (df.groupBy(*rest) if rest else df.groupBy(F.lit(0))).applyInPandas(run, ", ".join(fields))
+    found = df.groupBy(*rest).applyInPandas(run, ", ".join(fields))
     return ds.with_(df=found, dims=("k", *rest), vars={f"{v}_{x}": {} for v in names for x in ("ampl", "phase")})
 
 

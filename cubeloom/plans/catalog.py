@@ -462,12 +462,12 @@ def upsample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GLOBE = f"(SELECT lat, lon, avg(value) AS value FROM {EV} GROUP BY 1, 2)"
 
 
-@query(f"SELECT floor((lat + 90) / 12) * 12 - 84 AS lat, floor((lon + 180) / 12) * 12 - 174 AS lon, round(avg(value), 4) AS value FROM {_GLOBE} GROUP BY 1, 2")
+@query(f"SELECT floor((lat + 90) / 12) * 12 - 84 AS lat, floor((lon + 180) / 12) * 12 - 174 AS lon, round(avg(value), 6) AS value FROM {_GLOBE} GROUP BY 1, 2")
 def coregister(spark: SparkSession, sf_dir: str) -> DataFrame:
     replica = aggregate.reduce(ev(spark, sf_dir), dim="time", apply_spatial_weighting=False)
     lat, lon = resampling.centres(-90, 90, 15), resampling.centres(-180, 180, 30)
     primary = Cube.of(spark.createDataFrame([(a, b, 0.0) for a in lat for b in lon], "lat double, lon double, p double"), ("lat", "lon"))
-    return r(resampling.coregister(primary, replica).df, 4)
+    return r(resampling.coregister(primary, replica).df)
 
 
 @query(f"SELECT floor((lat + 90) / 12) * 12 - 84 AS lat, floor((lon + 180) / 12) * 12 - 174 AS lon, max(value) AS value FROM {_GLOBE} GROUP BY 1, 2")
@@ -490,11 +490,14 @@ def midday(spark: SparkSession, sf_dir: str) -> Cube:
     return Cube.of(df, ("time", "lat"))
 
 
-@query(f"SELECT date_trunc('month', time)::TIMESTAMP + INTERVAL 15 DAY AS time, lat, round(avg(v), 6) AS v FROM (SELECT date_trunc('day', time)::TIMESTAMP + INTERVAL 12 HOUR AS time, lat, avg(v) AS v FROM {_DAILY} WHERE time >= '1996-01-01' AND time < '1997-01-01' GROUP BY 1, 2) GROUP BY 1, 2")
+@query(f"""WITH d AS (SELECT time + INTERVAL 12 HOUR AS time, lat, v FROM {_DAILY}), m AS (SELECT date_trunc('month', time)::TIMESTAMP AS month, lat, avg(v) AS v FROM d GROUP BY 1, 2),
+steps AS (SELECT unnest(generate_series((SELECT min(month) FROM m), (SELECT max(month) FROM m), INTERVAL 1 MONTH)) AS month)
+SELECT month + INTERVAL 15 DAY AS time, lat, round(v, 6) AS v FROM steps CROSS JOIN (SELECT DISTINCT lat FROM d) LEFT JOIN m USING (month, lat)""")
 def temporal_alignment_down_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = daily(spark, sf_dir)
-    replica = days.on(days.df.where("time >= '1996-01-01' AND time < '1997-01-01'").withColumn("time", F.col("time") + F.expr("interval 12 hours")))
-    return r(alignment.temporal_alignment(_steps(spark, "1996-01-01", "1996-12-01", "1 month", "15 days"), replica).df)
+    replica = days.on(days.df.withColumn("time", F.col("time") + F.expr("interval 12 hours")))
+    first, last = (f"{t:%Y-%m}-01" for t in replica.extent("time"))
+    return r(alignment.temporal_alignment(_steps(spark, first, last, "1 month", "15 days"), replica).df)
 
 
 @query(f"SELECT TIMESTAMP '2024-01-03 12:00:00' + INTERVAL 5 DAY * CAST(floor(epoch(time - TIMESTAMP '2024-01-01 12:00:00') / 432000) AS INTEGER) AS time, lat, round(avg(v), 6) AS v FROM {_MIDDAY} WHERE time < '2024-01-26' GROUP BY 1, 2")

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import ast
-import re
 import subprocess
 from collections.abc import Callable
+from functools import reduce as fold
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..cube import Cube, ValidationError
@@ -63,15 +63,54 @@ def check_expression(expression: str, names: set[str]) -> ast.Expression:
     return tree
 
 
+_BINARY = {
+    ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Pow: F.pow,
+    ast.Div: lambda a, b: F.try_divide(a.cast("double"), b), ast.Mod: F.try_mod,
+    ast.FloorDiv: lambda a, b: F.floor(F.try_divide(a.cast("double"), b)),
+    ast.BitAnd: lambda a, b: a & b, ast.BitOr: lambda a, b: a | b,
+}
+_COMPARED = {ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b, ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b}
+
+
+def expression_column(expression: str, columns: list[str]) -> Column:
+    """A column of an expression over columns, with Python's precedence; a division by zero is null."""
+    tree = check_expression(expression, set(columns))
+
+    def walk(e: ast.expr) -> Column:
+        if isinstance(e, ast.Constant):
+            return F.lit(e.value)
+        if isinstance(e, ast.Name):
+            if e.id in columns:
+                return F.col(f"`{e.id}`")
+            if e.id in ("pi", "e"):
+                return F.pi() if e.id == "pi" else F.e()
+        if isinstance(e, ast.UnaryOp):
+            v = walk(e.operand)
+            return {ast.USub: lambda: -v, ast.UAdd: lambda: v}.get(type(e.op), lambda: ~v)()
+        if isinstance(e, ast.BinOp) and type(e.op) in _BINARY:
+            return _BINARY[type(e.op)](walk(e.left), walk(e.right))
+        if isinstance(e, ast.BoolOp):
+            return fold((lambda a, b: a & b) if isinstance(e.op, ast.And) else (lambda a, b: a | b), map(walk, e.values))
+        if isinstance(e, ast.Compare) and all(type(o) in _COMPARED for o in e.ops):
+            sides = [walk(x) for x in (e.left, *e.comparators)]
+            return fold(lambda a, b: a & b, (_COMPARED[type(o)](a, b) for o, a, b in zip(e.ops, sides, sides[1:])))
+        if isinstance(e, ast.IfExp):
+            return F.when(walk(e.test), walk(e.body)).otherwise(walk(e.orelse))
+        if isinstance(e, ast.Call) and not e.keywords:
+            if e.func.id == "round":
+                return F.round(walk(e.args[0]), *(a.value for a in e.args[1:]))
+            return getattr(F, e.func.id)(*map(walk, e.args))
+        raise ValidationError(f"not allowed in an expression: {ast.unparse(e)}")
+
+    return walk(tree.body)
+
+
 def new_expression_op(name: str, expression: str, output: str = "result", registry: Registry | None = None) -> Operation:
     """An operation that adds a column of an expression over the table's columns."""
-    sql = re.sub(r"\*\*", "^", expression)
 
     def run(ds: Any) -> Any:
         df: DataFrame = ds.df if isinstance(ds, Cube) else ds
-        check_expression(expression, set(df.columns))
-        power = re.sub(r"(\w+|\([^()]*\))\s*\^\s*(\w+|\([^()]*\))", r"pow(\1, \2)", sql)
-        out = df.withColumn(output, F.expr(power))
+        out = df.withColumn(output, expression_column(expression, df.columns))
         return ds.with_(df=out, vars={**ds.vars, output: {}}) if isinstance(ds, Cube) else out
 
     operation = Operation(run, name, {"ds": Input("ds")}, description=expression)

@@ -190,7 +190,10 @@ class StorePool:
         time_range, region = TimeRangeLike.convert(time_range), PolygonLike.convert(region)
         if time_range and "time" in df.columns:
             low, high = time_range
-            df = df.where(F.col("time").between(F.lit(low).cast("timestamp_ntz"), F.lit(high).cast("timestamp_ntz")))
+            if low is not None:
+                df = df.where(F.col("time") >= F.lit(low).cast("timestamp_ntz"))
+            if high is not None:
+                df = df.where(F.col("time") <= F.lit(high).cast("timestamp_ntz"))
         if region is not None and {"lat", "lon"} <= set(df.columns):
             x0, y0, x1, y1 = region.bounds
             df = df.where(F.col("lon").between(x0, x1) & F.col("lat").between(y0, y1))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cubeloom import likes, op
 from cubeloom.cube import Cube, ValidationError
 from cubeloom.functions.quantiles import exact_quantiles
-from cubeloom.operators import data_frame, plotdata, regions
+from cubeloom.operators import alignment, data_frame, gapfilling, plotdata, regions, timeseries
 from cubeloom.plans import chain
 from cubeloom.sources import images, stores, vector
 from cubeloom.streaming.windows import windowed_statistics
@@ -162,3 +162,47 @@ def test_text_utilities(spark):
     assert text.to_json({"a": (1, float("nan"), date(2001, 1, 2), 1 + 2j)}) == {"a": [1, None, "2001-01-02", [1.0, 2.0]]}
     assert text.new_indexed_name({"v_1", "v_2"}, "v_{index}") == "v_3" and text.encode_url_path("/a/%(x)s", {"x": "b c"}, {"q": 1}) == "/a/b%20c?q=1"
     assert text.is_str_constant(text.to_str_constant("it's")) and text.to_scalar([[3.14159]], 2) == 3.14 and text.to_scalar([1, 2]) is None and text.to_list("a") == ["a"]
+
+
+def test_expressions_keep_python_precedence(spark):
+    df = spark.createDataFrame([(2.0, 3.0), (0.5, 0.0)], "a double, b double")
+    for text, of in (("(a*(b+1))**2", lambda a, b: (a * (b + 1)) ** 2), ("2**3**2 - a", lambda a, b: 2**9 - a), ("-a**2 + b % 2", lambda a, b: -(a**2) + b % 2), ("a if b > 1 else sqrt(a)", lambda a, b: a if b > 1 else a**0.5), ("0 < b < 5", lambda a, b: 0 < b < 5), ("round(a / 3, 2)", lambda a, b: round(a / 3, 2))):
+        got = [r["x"] for r in chain.new_expression_op("f", text, "x")(df).collect()]
+        assert got == pytest.approx([of(2.0, 3.0), of(0.5, 0.0)]), text
+    with pytest.raises(ValidationError):
+        chain.new_expression_op("f", "a.b", "x")(df)
+
+
+def test_quantiles_of_several_columns(spark):
+    import numpy as np
+
+    from cubeloom.functions.quantiles import quantiles_of
+
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=5000), np.round(rng.pareto(0.3, 5000), 1)
+    df = spark.createDataFrame([(float(a), float(b), None, 7.0) for a, b in zip(x, y)], "x double, y double, z double, w double")
+    got = quantiles_of(df, {c: df[c] for c in "xyzw"}, [0.0, 0.05, 0.5, 0.95, 1.0])
+    assert np.allclose(got["x"], np.quantile(x, [0, 0.05, 0.5, 0.95, 1])) and np.allclose(got["y"], np.quantile(y, [0, 0.05, 0.5, 0.95, 1]))
+    assert got["z"] == [None] * 5 and got["w"] == [7.0] * 5
+    ends = spark.createDataFrame([(float("-inf"),), (1.0,), (2.0,), (float("inf"),)], "x double")
+    assert quantiles_of(ends, {"x": ends["x"]}, [1 / 3])["x"] == [1.0]
+
+
+def test_cubes_of_lat_and_lon_alone(spark):
+    rows = [(float(i), float(j), None if (i + j) % 3 == 0 else float(i * 4 + j)) for i in range(4) for j in range(4)]
+    cube = Cube.of(spark.createDataFrame(rows, "lat double, lon double, v double"), ("lat", "lon"))
+    assert gapfilling.gapfill(cube).df.where("v IS NULL").count() == 0
+    series = Cube.of(spark.sql("SELECT explode(sequence(timestamp_ntz'2000-01-01', timestamp_ntz'2000-01-08', interval 1 day)) AS time").selectExpr("time", "double(day(time)) AS v"), ("time",))
+    assert timeseries.fourier_analysis(series).df.count() == 8
+    finer = Cube.of(spark.sql("SELECT explode(sequence(timestamp_ntz'2000-01-02', timestamp_ntz'2000-01-06', interval 12 hours)) AS time").selectExpr("time", "1d AS p"), ("time",))
+    got = {r["time"].isoformat()[:13]: r["v"] for r in alignment.temporal_alignment(finer, series, "quadratic").df.collect()}
+    assert got["2000-01-03T12"] == pytest.approx(3.5)
+
+
+def test_open_ended_time_ranges(spark, tmp_path):
+    pool = stores.StorePool(str(tmp_path / "stores.json"))
+    spark.sql("SELECT timestamp_ntz'2001-01-01' AS time, 1 AS v UNION ALL SELECT timestamp_ntz'2003-01-01', 2").write.parquet(str(tmp_path / "d" / "a.parquet"))
+    store = pool.add_local_store(str(tmp_path / "d"), persist=False)
+    for text, want in ((",2002-01-01", [1]), ("2000-01-01,2004-01-01", [1, 2])):
+        cube, _ = pool.open_data(spark, "a.parquet", time_range=text, data_store_id=store)
+        assert sorted(r["v"] for r in cube.df.collect()) == want, text
