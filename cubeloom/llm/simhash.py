@@ -85,11 +85,11 @@ def index(fps: DataFrame, start: int = START) -> DataFrame:
 
 
 def _longer(members: DataFrame) -> DataFrame:
-    """The lists of one more position that members of long lists (mask, fp) go to."""
+    """The lists of one more position that members of long lists (mask, fp) go to; a fingerprint is in one list of each choice."""
     every = F.array(*(F.lit(_bytes_at(m)) for m in range(256)))
     further = F.filter(F.array(*(F.lit(1 << i) for i in range(8))), lambda b: F.col("mask").bitwiseAND(b) == 0)
-    deeper = members.select("fp", F.explode(F.transform(further, lambda b: F.col("mask").bitwiseOR(b))).alias("mask")).distinct()
-    return deeper.select("mask", F.col("fp").bitwiseAND(F.element_at(every, F.col("mask") + 1)).alias("key"), "fp")
+    own = members.select("fp", F.transform(further, lambda b: F.col("mask").bitwiseOR(b)).alias("masks")).groupBy("fp").agg(F.array_distinct(F.flatten(F.collect_set("masks"))).alias("masks"))
+    return own.select("fp", F.explode("masks").alias("mask")).select("mask", F.col("fp").bitwiseAND(F.element_at(every, F.col("mask") + 1)).alias("key"), "fp")
 
 
 def _by_halves(members: DataFrame) -> DataFrame:
