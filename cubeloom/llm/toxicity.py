@@ -14,10 +14,9 @@ from __future__ import annotations
 
 import heapq
 import re
-import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
-from itertools import combinations
+from itertools import combinations, compress
 
 import numpy as np
 import pandas as pd
@@ -27,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import fold, small_batches
 
 LENGTH, DECAY, POWER, PIECE = 3, 0.8, 4, 32
-#: Characters of new words whose parts are counted at once in training.
-COUNTED = 4_000_000
+#: Bits of the table of first counts in training.
+SEEN_BITS = 24
 #: The weight in training of a hidden form of a landmark, of which there are a few, against that of a text.
 HIDDEN = 10.0
 NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -232,13 +231,18 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = 6
 
     novel = [{w for w in t if w not in common} for t in toxic]
     least = 2 if len(toxic) < 200 else 4
-    parts = 1 + sum(len(w) for t in novel for w in t) // COUNTED
+    # first counts by hash, which are never too low, leave few strings to be counted themselves
+    seen = np.zeros(1 << SEEN_BITS, np.uint16)
+    placed = lambda strings: np.fromiter(map(hash, strings), np.int64, len(strings)) & ((1 << SEEN_BITS) - 1)
+    for x in novel:
+        own = np.unique(placed(grams(x)))
+        seen[own] += seen[own] < 65_535
     times: Counter = Counter()
-    for part in range(parts):  # all counts of a part of the strings, by hash; those too rare make room for the next part
-        some: Counter = Counter()
-        for x in novel:
-            some.update(g for g in grams(x) if parts == 1 or zlib.crc32(g.encode("utf-8", "replace")) % parts == part)
-        times.update({g: k for g, k in some.items() if k >= least})
+    for x in novel:
+        some = list(grams(x))
+        times.update(compress(some, seen[placed(some)] >= least))
+    times = Counter({g: k for g, k in times.items() if k >= least})
+    del seen
     against: Counter = Counter()
     for x in clean if times else ():
         against.update(grams(x) & times.keys())
@@ -314,7 +318,7 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 3) -> Model:
     white = vector @ np.diag(1 / np.sqrt(np.maximum(value, 0.05))) @ vector.T
     sentences = []
     for x in words:
-        model.learn(set(x))
+        model.learn(set(x), 60_000)
         sentences.append(model.sentences(x))
     hidden = model.values([g for c in chosen for g in gapped(c)]).astype(np.float32)
     white = white.astype(np.float32)
@@ -341,8 +345,7 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 3) -> Model:
         h = p * (1 - p)
         step = np.linalg.solve(np.array([[(h * m * m).sum() + 0.01, (h * m).sum()], [(h * m).sum(), h.sum() + 1e-6]]), g)
         a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
-    model.slope, model.shift = float(a), float(b)
-    return model
+    return Model(chosen, model.alpha, model.bias, float(a), float(b))  # without the words that were kept
 
 
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1200, max_clean: int = 3000, max_bytes: int = 24 << 20) -> Model:
