@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +73,18 @@ def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schem
     return df.mapInArrow(run, schema)
 
 
+def in_task(rows: DataFrame, fit: Callable[[pd.DataFrame], object]) -> object:
+    """What fit makes of all rows, which the caller bounds, in one task, so that the driver holds neither rows nor the fit's memory."""
+    names = rows.columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        some = list(frames)
+        yield pd.DataFrame({"made": [pickle.dumps(fit(pd.concat(some, ignore_index=True) if some else pd.DataFrame(columns=names)))]})
+
+    made = rows.repartition(1).mapInPandas(run, "made binary").collect()
+    return pickle.loads(made[0]["made"]) if made else fit(pd.DataFrame(columns=names))  # an empty frame may have no partition
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches of whole texts small, so that a Python worker's memory stays bounded."""
     ship(spark)

@@ -7,6 +7,7 @@ bounds on statistics. A lasso-penalised logistic fit keeps few rules; they are c
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, fresh, small_batches
+from .common import fold, fresh, in_task, small_batches
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "distinct_words", "repeated_neighbours", "lines_distinct", "line_words", "upper", "digits", "stops",
@@ -112,9 +113,19 @@ def _tree(x: np.ndarray, bins: np.ndarray, edges: list[np.ndarray], gradient: np
 def _lasso(a: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Logistic weights with an L1 penalty (none on the intercept, the last column of a), by accelerated proximal steps."""
     n, m = a.shape[0], a.shape[1] - 1
+
+    def through(v: np.ndarray, f: Callable[[np.ndarray, slice], np.ndarray]) -> np.ndarray:
+        """a.T @ f(a @ v), a part of the rows at a time."""
+        out = np.zeros(m + 1)
+        for lo in range(0, n, 2000):
+            rows = slice(lo, lo + 2000)
+            part = a[rows].astype(float)
+            out += part.T @ f(part @ v, rows)
+        return out
+
     v = np.ones(m + 1)
     for _ in range(30):
-        v = a.T @ (a @ v)
+        v = through(v, lambda z, _: z)
         norm = np.linalg.norm(v)
         v /= norm
     step = 4 * n / norm
@@ -123,8 +134,7 @@ def _lasso(a: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> t
     w[m] = math.log(share / (1 - share))
     u, t = w.copy(), 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ u, -30, 30)))
-        new = u - step * (a.T @ (p - y)) / n
+        new = u - step * through(u, lambda z, rows: 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / n
         new[:m] = np.sign(new[:m]) * np.maximum(np.abs(new[:m]) - step * penalty, 0)
         t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
         u, w, t = new + (t - 1) / t2 * (new - w), new, t2
@@ -151,10 +161,10 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty:
     rules = list(found.values())
     if not rules:
         return Rules(math.log(y.mean() / (1 - y.mean())))
-    a = np.zeros((len(y), len(rules) + 1), np.float32)
-    a[:, -1] = 1.0  # for the intercept
+    a = np.zeros((len(y), len(rules) + 1), bool)
+    a[:, -1] = True  # for the intercept
     for k, (_, rows) in enumerate(rules):
-        a[rows, k] = 1.0
+        a[rows, k] = True
     w, b = _lasso(a, y, penalty)
     keep = [(tuple((STATISTICS[j], up, c) for j, up, c in bounds), float(v)) for (bounds, _), v in zip(rules, w) if abs(v) > 1e-6]
     return Rules(b, keep)
@@ -165,9 +175,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Rules:
     small_batches(docs.sparkSession)
     own = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 4) != 2)).groupBy("doc_id").agg(F.max("quality").alias("y"))
     some = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "y", statistics("text").alias("s")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id", "y", "s.*").collect()
-    x = np.array([r[2:] for r in rows], float).reshape(len(rows), len(STATISTICS))
-    return fit(x, np.array([r["y"] for r in rows], float))
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "y", statistics("text").alias("s")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id", "y", "s.*")
+
+    def fitted(some: pd.DataFrame) -> Rules:
+        some = some.sort_values("doc_id", kind="stable")
+        return fit(some[list(STATISTICS)].to_numpy(float), some["y"].to_numpy(float))
+
+    return in_task(rows, fitted)
 
 
 def score(docs: DataFrame, model: Rules, into: str = "score") -> DataFrame:

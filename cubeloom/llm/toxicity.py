@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches
+from .common import fold, in_task, small_batches
 
 LENGTH, DECAY, POWER, PIECE = 3, 0.8, 4, 32
 #: Bits of the table of first counts in training.
@@ -360,9 +360,14 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1200, max_clean:
             left[r["y"]] -= r["n"]
             ids.add(r["doc_id"])
     kept = first.where(F.col("doc_id").isin([])) if not ids else docs.sparkSession.createDataFrame([(i,) for i in sorted(ids)], docs.select("doc_id").schema)
-    rows = docs.select("doc_id", "text").join(F.broadcast(kept.select("doc_id")), "doc_id").join(F.broadcast(first), "doc_id").select("doc_id", "y", "text").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in rows], [int(r["y"]) for r in rows])
+    rows = docs.select("doc_id", "text").join(F.broadcast(kept.select("doc_id")), "doc_id").join(F.broadcast(first), "doc_id").select("doc_id", "y", "text").dropDuplicates(["doc_id"])
+
+    def fitted(some: pd.DataFrame) -> Model:
+        some = some.sort_values("doc_id")
+        return fit([t if isinstance(t, str) else None for t in some["text"]], [int(y) for y in some["y"]])
+
+    small_batches(docs.sparkSession)
+    return in_task(rows, fitted)
 
 
 def score_column(text: str | Column, model: Model) -> Column:
