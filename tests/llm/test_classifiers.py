@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cubeloom.llm import quality, toxicity
-from cubeloom.llm.common import fold, read
+from cubeloom.llm.common import fold, in_task, read
 
 SF = "/root/testdata/sf0.01"
 
@@ -105,3 +105,9 @@ def test_quality_rules_equal_their_column(spark):
         x = dict(zip(quality.STATISTICS, quality.statistics_of(r["text"])))
         z = model.intercept + sum(w for bounds, w in model.rules if all((x[n] > b) if up else (x[n] <= b) for n, up, b in bounds))
         assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_a_fit_in_a_task_sees_all_rows_or_none(spark):
+    rows = spark.range(2500).repartition(7)
+    assert in_task(rows, lambda x: (len(x), int(x["id"].sum()))) == (2500, 2500 * 2499 // 2)
+    assert in_task(rows.where("id < 0"), lambda x: (len(x), list(x.columns))) == (0, ["id"])
