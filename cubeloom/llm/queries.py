@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import html, licenses, media, mixing, packing, quality, search, simhash, toxicity, warc
+from . import html, licenses, media, mixing, packing, quality, search, simhash, spelling, toxicity, warc
 from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,12 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.forms(spelling.words(read(spark, sf_dir, "documents").select("doc_id", "text"), damage=97))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 SQL["op1_top_k"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
