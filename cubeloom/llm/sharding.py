@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import fresh, placed, quoted, row_id, ship, stored
 
 #: Bytes that a row takes beside its text; bins of a node in a pass; bits of a coordinate and of a text's hash in a key.
-ROW_BYTES, BINS, COORDINATE, HASH = 16, 4096, 22, 40
+ROW_BYTES, BINS, COORDINATE, HASH = 16, 16_384, 22, 40
 #: A cut this part of a shard from the wanted weight is near enough; a group of equal texts is cut where it would miss by more than the second.
 NEAR, WHOLE = 1 / 1000, 1 / 64
 #: Rows of the table of slots' beginnings that are broadcast at most.
