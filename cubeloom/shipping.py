@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -23,3 +24,34 @@ def ship(spark: SparkSession) -> None:
                     z.write(os.path.join(folder, n), os.path.join("cubeloom", os.path.relpath(os.path.join(folder, n), root)))
     context.addPyFile(path)
     context._cubeloom_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors reach; a temporary one only where none is set and the master is local, as in tests."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="cubeloom-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the session's JVM ends."""
+    at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+    at = scratch(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from ..cube import Cube, ValidationError
 from ..likes import PolygonLike, TimeRangeLike, VarNamesLike
-from . import vector
+from . import vector, zarr
 
 PROTOCOLS = ("abfs", "file", "ftp", "https", "memory", "reference", "s3")
-CUBE_FORMATS, TABLE_FORMATS, VECTOR_FORMATS = ("parquet", "orc"), ("parquet", "orc", "csv", "json"), ("geojson", "kml", "parquet")
-EXTENSIONS = {".parquet": "parquet", ".orc": "orc", ".csv": "csv", ".json": "json", ".geojson": "geojson", ".kml": "kml"}
+CUBE_FORMATS, TABLE_FORMATS, VECTOR_FORMATS = ("parquet", "orc", "zarr"), ("parquet", "orc", "csv", "json"), ("geojson", "kml", "parquet")
+EXTENSIONS = {".parquet": "parquet", ".orc": "orc", ".csv": "csv", ".json": "json", ".geojson": "geojson", ".kml": "kml", ".zarr": "zarr"}
 
 
 @dataclass
@@ -183,8 +183,12 @@ class StorePool:
         kind, path = format_of(dataset_id), f"{store.root.rstrip('/')}/{dataset_id}"
         if kind in ("geojson", "kml"):
             return (vector.read_geojson if kind == "geojson" else vector.read_kml)(spark, path), dataset_id
+        told = zarr.read_zarr(spark, path) if kind == "zarr" else None
+        if told is not None:
+            wanted = VarNamesLike.pick(var_names, list(told.vars))
+            told = zarr.read_zarr(spark, path, wanted) if wanted != list(told.vars) else told
         reader = spark.read.option("header", True).option("inferSchema", True) if kind == "csv" else spark.read
-        df = reader.format(kind).load(path)
+        df = told.df if told is not None else reader.format(kind).load(path)
         if place_names:
             df = df.where(F.col("place_name").isin(place_names))
         time_range, region = TimeRangeLike.convert(time_range), PolygonLike.convert(region)
@@ -197,9 +201,11 @@ class StorePool:
         if region is not None and {"lat", "lon"} <= set(df.columns):
             x0, y0, x1, y1 = region.bounds
             df = df.where(F.col("lon").between(x0, x1) & F.col("lat").between(y0, y1))
-        dims = [d for d in ("place_name", "geometry_id", "time", "lat", "lon") if d in df.columns]
+        dims = list(told.dims) if told is not None else [d for d in ("place_name", "geometry_id", "time", "lat", "lon") if d in df.columns]
         names = VarNamesLike.pick(var_names, [c for c in df.columns if c not in dims])
         df = df.select(*dims, *names)
+        if told is not None:
+            return told.on(df, names, tuple(dims)), dataset_id
         return (Cube.of(df, dims) if dims else df), dataset_id
 
     def get_supported_formats(self, data: Any, store_id: str) -> list[str]:
@@ -223,10 +229,13 @@ class StorePool:
             store.memory[data_id] = data
             return data_id
         path, df = f"{store.root.rstrip('/')}/{data_id}", data.df if isinstance(data, Cube) else data
+        if kind == "zarr":
+            zarr.write_zarr(data, path, overwrite=replace)
+            return data_id
         if kind in ("geojson", "kml"):
-            if os.path.exists(path) and not replace:
+            if data_id in store.list(df.sparkSession) and not replace:
                 raise ValidationError(f"{data_id!r} exists already")
-            (vector.write_geojson if kind == "geojson" else vector.write_kml)(df, path)
+            (vector.write_geojson if kind == "geojson" else vector.write_kml)(df, path, replace)
             return data_id
         writer = df.write.mode("overwrite" if replace else "errorifexists").format(kind)
         if kind == "csv":
