@@ -1,6 +1,7 @@
 """Plane geometry without a library: literals on the driver, tests of points as column expressions.
 
-A geometry column is a struct (type, coords: array of (x, y)) that holds a point or one ring.
+A geometry column is a struct (type, coords: array of (x, y), ends: array of int). coords are the points of all rings, lines
+or parts one after the other; ends says after how many points each part but the last ends (null or empty: there is one).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Ring = list[tuple[float, float]]
-COLUMN = "struct<type:string,coords:array<struct<x:double,y:double>>>"
+COLUMN = "struct<type:string,coords:array<struct<x:double,y:double>>,ends:array<int>>"
 EARTH_AXIS, FLATTENING = 6378137.0, 1 / 298.257223563
 
 
@@ -159,7 +160,7 @@ def parse_geometry(value: Any) -> Geometry:
 
 
 def point_column(x: Column, y: Column) -> Column:
-    return F.when(x.isNotNull() & y.isNotNull(), F.struct(F.lit("Point").alias("type"), F.array(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))).alias("coords")).cast(COLUMN))
+    return F.when(x.isNotNull() & y.isNotNull(), F.struct(F.lit("Point").alias("type"), F.array(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))).alias("coords"), F.lit(None).alias("ends")).cast(COLUMN))
 
 
 def x_of(geometry: Column) -> Column:
@@ -265,9 +266,78 @@ def centroid_column(geometry: Column) -> Column:
     return F.struct(F.when(ring, moment("x")).otherwise(mean("x")).alias("x"), F.when(ring, moment("y")).otherwise(mean("y")).alias("y"))
 
 
+#: Lambert's azimuthal equal-area systems by code: latitude and longitude of the centre, false easting and northing, axis, flattening.
+AZIMUTHAL = {
+    "3035": (52.0, 10.0, 4321000.0, 3210000.0, 6378137.0, 1 / 298.257222101),
+    "6931": (90.0, 0.0, 0.0, 0.0, EARTH_AXIS, FLATTENING), "6932": (-90.0, 0.0, 0.0, 0.0, EARTH_AXIS, FLATTENING),
+}
+
+
+class _Azimuthal:
+    """An equal-area system about a centre, on the sphere of the same area. m: the functions, of numbers (math) or columns (F)."""
+
+    def __init__(self, code: str) -> None:
+        lat, lon, self.east, self.north, axis, f = AZIMUTHAL[code]
+        self.e2 = f * (2 - f)
+        self.e = math.sqrt(self.e2)
+        self.lat, self.lon = math.radians(lat), math.radians(lon)
+        self.pole = self._q(1.0, math)
+        self.radius = axis * math.sqrt(self.pole / 2)
+        at = self._q(math.sin(self.lat), math) / self.pole
+        self.sin, self.cos = at, math.sqrt(max(0.0, 1 - at * at))
+        self.polar = abs(abs(lat) - 90) < 1e-9
+        self.d = 1.0 if self.polar else axis * math.cos(self.lat) / math.sqrt(1 - self.e2 * math.sin(self.lat) ** 2) / (self.radius * self.cos)
+
+    def _q(self, s: Any, m: Any) -> Any:
+        return (1 - self.e2) * (s / (1 - self.e2 * s * s) - m.log((1 - self.e * s) / (1 + self.e * s)) / (2 * self.e))
+
+    def forward(self, x: Any, y: Any, m: Any) -> tuple[Any, Any]:
+        s = self._q(m.sin(m.radians(y)), m) / self.pole
+        c, turn = m.sqrt(_clip(1 - s * s, m)), m.radians(x) - self.lon
+        b = self.radius * m.sqrt(2 / (1 + self.sin * s + self.cos * c * m.cos(turn)))
+        return b * self.d * c * m.sin(turn) + self.east, b / self.d * (self.cos * s - self.sin * c * m.cos(turn)) + self.north
+
+    def back(self, x: Any, y: Any, m: Any) -> tuple[Any, Any]:
+        a, b = (x - self.east) / self.d, (y - self.north) * self.d
+        rho = m.sqrt(a * a + b * b)
+        half = rho / (2 * self.radius)
+        sine, cosine = 2 * half * m.sqrt(_clip(1 - half * half, m)), 1 - 2 * half * half  # of the angle from the centre
+        of = sine / _positive(rho, m)
+        s = cosine * self.sin + b * of * self.cos
+        beta = m.asin(_between(s, m))
+        lon = self.lon + m.atan2(a * sine, rho * self.cos * cosine - b * self.sin * sine)
+        e2, e4, e6 = self.e2, self.e2**2, self.e2**3
+        lat = beta + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * m.sin(2 * beta) + (23 * e4 / 360 + 251 * e6 / 3780) * m.sin(4 * beta) + 761 * e6 / 45360 * m.sin(6 * beta)
+        return m.degrees(lon), m.degrees(lat)
+
+
+def _clip(v: Any, m: Any) -> Any:
+    return max(0.0, v) if m is math else F.greatest(v, F.lit(0.0))
+
+
+def _between(v: Any, m: Any) -> Any:
+    return min(1.0, max(-1.0, v)) if m is math else F.least(F.greatest(v, F.lit(-1.0)), F.lit(1.0))
+
+
+def _positive(v: Any, m: Any) -> Any:
+    return (v or 1.0) if m is math else F.when(v > 0, v).otherwise(1.0)
+
+
+def unproject(x: Column, y: Column, crs: str) -> tuple[Column, Column] | None:
+    """Longitude and latitude of places in web Mercator or an azimuthal equal-area system; None for other systems."""
+    code = crs.upper().removeprefix("EPSG:")
+    if code in ("4326", "CRS84", "OGC:CRS84"):
+        return x, y
+    if code in ("3857", "900913"):
+        return F.degrees(x / EARTH_AXIS), F.degrees(F.atan(F.exp(y / EARTH_AXIS))) * 2 - 90
+    return _Azimuthal(code).back(x, y, F) if AZIMUTHAL.get(code) else None
+
+
 def project(x: Column, y: Column, crs: str) -> tuple[Column, Column] | None:
-    """From longitude and latitude to web Mercator or UTM, in closed form; None for other systems."""
+    """From longitude and latitude to web Mercator, UTM or an azimuthal equal-area system, in closed form; None for other systems."""
     code = crs.upper().removeprefix("EPSG:")
+    if code in AZIMUTHAL:
+        return _Azimuthal(code).forward(x, y, F)
     if code in ("4326", "CRS84", "OGC:CRS84"):
         return x, y
     if code in ("3857", "900913"):
@@ -291,6 +361,8 @@ def project(x: Column, y: Column, crs: str) -> tuple[Column, Column] | None:
 def project_point(x: float, y: float, crs: str) -> tuple[float, float] | None:
     """As project(), of one point on the driver."""
     code = crs.upper().removeprefix("EPSG:")
+    if code in AZIMUTHAL:
+        return _Azimuthal(code).forward(x, y, math)
     if code in ("4326", "CRS84", "OGC:CRS84"):
         return x, y
     if code in ("3857", "900913"):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..cube import ValidationError
+from . import shapes
 from .geometry import POINT_TESTS, Geometry, parse_geometry, project_point, x_of, y_of
 
 _COMPARE = {ast.Eq: "__eq__", ast.NotEq: "__ne__", ast.Lt: "__lt__", ast.LtE: "__le__", ast.Gt: "__gt__", ast.GtE: "__ge__"}
@@ -28,7 +29,7 @@ def geometry_test(name: str, region: Geometry, column: str = "geometry", crs: st
     if shape is None:
         return F.lit(False)
     g = F.col(column)
-    other = F.raise_error(F.concat(F.lit("geometry tests take points, not "), g["type"])).cast("boolean")  # never a silent no
+    other = shapes.test(name, column, shape)
     return F.when(g.isNull() | g["type"].isNull(), False).when(g["type"] == "Point", F.coalesce(POINT_TESTS[name](x_of(g), y_of(g), shape), F.lit(False))).otherwise(other)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,15 +45,3 @@ def table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame
     df = spark.createDataFrame(rows, ", ".join(f"{n} {kinds[type(v)]}" for n, v in zip(names, rows[0])))
     return F.broadcast(df) if len(rows) <= 1_000_000 else df
 
-
-def spline_matrix(source: int, out: int, order: int) -> np.ndarray:
-    """Weights of a cubic-convolution or smoother interpolation from source to out cells (order 2 to 5, by Lagrange pieces)."""
-    m = np.zeros((out, source))
-    for o in range(out):
-        x = (source - 1) / (out - 1) * o if out > 1 else 0.0
-        i0 = int(np.clip(np.floor(x) - (order - 1) // 2, 0, max(0, source - order - 1)))
-        idx = np.arange(i0, min(source, i0 + order + 1))
-        for i in idx:
-            others = idx[idx != i]
-            m[o, i] = np.prod((x - others) / (i - others)) if len(others) else 1.0
-    return m
