@@ -6,10 +6,11 @@ from datetime import datetime
 from functools import reduce as fold
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cube import Cube, ValidationError, cos_lat, small
+from ..functions.quantiles import aggregated
 from ..functions.temporal import bin_labels, bin_start, parse_period
 from ..likes import DimNamesLike, VarNamesLike
 from ..op import op
@@ -53,6 +54,8 @@ def reduce(ds: Cube, var: Any = None, dim: Any = None, method: str = "mean", app
         raise ValidationError("Cannot apply spatial weighting: the dataset has no lat coordinate.")
     if apply_spatial_weighting and method in ("mean", "sum") and "lat" in dims:
         df = _lat_weighted(ds, names, dims, weighted_mean if method == "mean" else weighted_sum, F.avg if method == "mean" else F.sum)
+    elif method == "median":
+        df = aggregated(ds.df, keep, [], {v: F.col(v) for v in names})
     else:
         df = ds.df.groupBy(*keep).agg(*(PLAIN[method](v).alias(v) for v in names))
     return ds.on(df, names, tuple(keep))
@@ -78,11 +81,12 @@ def statistics(ds: Cube, var: Any = None, apply_spatial_weighting: bool = True,
     nested = apply_spatial_weighting and "lat" in dims
     if apply_spatial_weighting and dim is None and "lat" not in ds.dims:
         raise ValidationError("Cannot apply spatial weighting: the dataset has no lat coordinate.")
-    made = {"count": lambda v: F.count(F.when(F.col(v).isNull() | (F.col(v) != 0), 1)), "mean": F.avg, "median": F.median, "sum": F.sum, "std": F.stddev_pop, "min": F.min, "max": F.max}
+    made = {"count": lambda v: F.count(F.when(F.col(v).isNull() | (F.col(v) != 0), 1)), "mean": F.avg, "sum": F.sum, "std": F.stddev_pop, "min": F.min, "max": F.max}
     plain = [m for m in asked if not (nested and m in ("mean", "sum", "std"))]
     frames = []
     if plain:
-        frames.append(ds.df.groupBy(*keep).agg(*(made[m](v).alias(f"{v}_{m}") for v in names for m in plain)))
+        middles = {f"{v}_median": F.col(v) for v in names if "median" in plain}
+        frames.append(aggregated(ds.df, keep, [made[m](v).alias(f"{v}_{m}") for v in names for m in plain if m != "median"], middles))
     heavy = [m for m in asked if m not in plain]
     if heavy:
         first = {"mean": weighted_mean, "sum": weighted_sum, "std": _spread}
@@ -129,7 +133,7 @@ def climatology(ds: Cube, var: Any = None) -> Cube:
 
 def _in_bin(names: list[str], method: str) -> list[Column]:
     t = F.col("time")
-    simple = {"mean": F.avg, "max": F.max, "min": F.min, "median": F.median, "sum": lambda v: F.coalesce(F.sum(v), F.lit(0.0)), "std": F.stddev_pop, "var": F.var_pop, "prod": lambda v: F.coalesce(F.product(v), F.lit(1.0)), "count": F.count}
+    simple = {"mean": F.avg, "max": F.max, "min": F.min, "sum": lambda v: F.coalesce(F.sum(v), F.lit(0.0)), "std": F.stddev_pop, "var": F.var_pop, "prod": lambda v: F.coalesce(F.product(v), F.lit(1.0)), "count": F.count}
     if method in simple:
         return [simple[method](v).alias(v) for v in names]
     if method in ("first", "last"):
@@ -152,11 +156,13 @@ def temporal_aggregation(ds: Cube, method: str = "mean", period: str = "MS") ->
         return ds
     label = bin_start(F.col("time"), p, first)
     binned = ds.df.withColumn("_bin", label)
-    df = binned.groupBy("_bin", *rest).agg(*_in_bin(names, method))
+    if method == "median":
+        df = aggregated(binned, ["_bin", *rest], [], {v: F.col(v) for v in names})
+    else:
+        df = binned.groupBy("_bin", *rest).agg(*_in_bin(names, method))
     if method in ("argmax", "argmin"):
-        axis = ds.coord("time").withColumn("_bin", label)
-        place = axis.alias("a").join(axis.alias("b"), (F.col("a._bin") == F.col("b._bin")) & (F.col("b.time") < F.col("a.time")), "left").groupBy(F.col("a.time").alias("time")).agg(F.count("b.time").alias("place"))
-        places = small(place)
+        place = F.row_number().over(Window.partitionBy("_bin").orderBy("time")) - 1  # over the steps of a bin, not its cells
+        places = small(ds.coord("time").withColumn("_bin", label).select("time", place.cast("long").alias("place")))
         for v in names:
             df = df.join(places.select(F.col("time").alias(v), F.col("place").alias(f"_{v}")), v, "left").drop(v).withColumnRenamed(f"_{v}", v)
     df = df.withColumnRenamed("_bin", "time").select("time", *rest, *names)

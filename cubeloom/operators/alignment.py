@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import bisect
 import warnings
+from collections import Counter
 from datetime import datetime, timedelta
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
-from ..cube import Cube, ValidationError
+from ..cube import Cube, ValidationError, small
+from ..functions.quantiles import aggregated
+from ..functions.splines import between
 from ..functions.temporal import guess_period, parse_period
 from ..functions.weights import table
 from ..op import op
@@ -71,8 +72,9 @@ def temporal_alignment(ds_primary: Cube, ds_replica: Cube, method: str = "mean")
             raise ValidationError("the time ranges of the datasets do not overlap")
         bins = F.broadcast(spark.createDataFrame(rows, "_time timestamp_ntz, time timestamp_ntz"))  # of one axis: a row for each of the replica's steps
         t = F.col("time")
-        made = {"count": F.count, "max": F.max, "min": F.min, "mean": F.avg, "median": F.median, "std": F.stddev_pop, "var": F.var_pop, "sum": F.sum, "first": lambda v: F.min_by(v, F.when(F.col(v).isNotNull(), t)), "last": lambda v: F.max_by(v, F.when(F.col(v).isNotNull(), t))}[method]
-        got = ds_replica.df.join(bins, "time").groupBy("_time", *rest).agg(*(made(v).alias(v) for v in names)).withColumnRenamed("_time", "time")
+        made = {"count": F.count, "max": F.max, "min": F.min, "mean": F.avg, "median": None, "std": F.stddev_pop, "var": F.var_pop, "sum": F.sum, "first": lambda v: F.min_by(v, F.when(F.col(v).isNotNull(), t)), "last": lambda v: F.max_by(v, F.when(F.col(v).isNotNull(), t))}[method]
+        binned, middles = ds_replica.df.join(bins, "time"), {v: F.col(v) for v in names} if method == "median" else {}
+        got = aggregated(binned, ["_time", *rest], [] if middles else [made(v).alias(v) for v in names], middles).withColumnRenamed("_time", "time")
     elif method in ("nearest", "zero", "linear", "slinear"):
         got = _between(ds_replica, tp, [tr[i] for i in kept], [br[i] for i in kept], fr, method)
     else:
@@ -130,28 +132,14 @@ def _between(ds: Cube, tp: list[datetime], tr: list[datetime], br: list[tuple],
 
 
 def _spline(ds: Cube, tp: list[datetime], tr: list[datetime], degree: int):
-    """Interpolating polynomials of a degree through the nearest replica steps; none outside of them."""
+    """The interpolating spline of a degree through the replica steps: a sum over steps by weights that depend on the axes
+    alone. None outside of the steps, nor where a value with a weight is missing."""
+    seconds = lambda ts: [(t - tr[0]).total_seconds() for t in ts]
+    found = between(seconds(tr), seconds(tp), degree)
     rest, names = ds.others("time"), list(ds.vars)
-    types = {f.name: f.dataType.simpleString() for f in ds.df.schema}
-    base = tr[0]
-    inside = [t for t in tp if tr[0] <= t <= tr[-1]]
-
-    def run(series: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values("time")
-        x = np.array([(t - base).total_seconds() for t in series["time"]])
-        out = {"time": inside, **{d: [series[d].iloc[0]] * len(inside) for d in rest}}
-        for v in names:
-            y = series[v].to_numpy(float)
-            ok = np.isfinite(y)
-            a, b = x[ok], y[ok]
-            made = []
-            for t in inside:
-                s = (t - base).total_seconds()
-                k = int(np.clip(np.searchsorted(a, s) - (degree + 1) // 2, 0, max(0, len(a) - degree - 1)))
-                px, py = a[k : k + degree + 1], b[k : k + degree + 1]
-                made.append(sum(py[i] * np.prod([(s - px[j]) / (px[i] - px[j]) for j in range(len(px)) if j != i]) for i in range(len(px))) if len(px) > degree else np.nan)
-            out[v] = made
-        return pd.DataFrame(out)
-
-    fields = ", ".join(["time timestamp_ntz", *(f"{d} {types[d]}" for d in rest), *(f"{v} double" for v in names)])
-    return ds.df.groupBy(*rest).applyInPandas(run, fields)
+    counts = Counter(i for i, _, _ in found)
+    rows = [(tp[i], tr[j], w, counts[i]) for i, j, w in found]
+    pairs = small(ds.df.sparkSession.createDataFrame(rows, "_time timestamp_ntz, time timestamp_ntz, w double, n int"))
+    met = ds.df.join(pairs, "time")
+    value = lambda v: F.when(F.count(v) == F.max("n"), F.sum(F.col(v) * F.col("w")))
+    return met.groupBy("_time", *rest).agg(*(value(v).alias(v) for v in names)).withColumnRenamed("_time", "time")

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..cube import Cube, ValidationError, small
 from ..functions import geometry as g
+from ..functions.quantiles import aggregated
 from ..functions.query_parser import geometry_test, parse_query
 from ..likes import CubeLike, DataFrameLike, GeometryLike, PointLike, PolygonLike, VarNamesLike
 from ..op import op
+from .lookup import with_nearest
 
 COUNTED = ("double", "bigint", "boolean")
 FIGURES = ("count", "mean", "median", "sum", "std", "min", "max")
@@ -30,15 +32,17 @@ def aggregate_statistics(df: DataFrame, var_names: Any = None, aggregate_geometr
     names = list(var_names or [c for c, t in types.items() if t in COUNTED])
     if not names:
         raise ValidationError("Var names do not contain any aggregatable columns.")
-    made = []
+    made, middles = [], {}
     for v in names:
         x = F.col(v).cast("int") if types[v] == "boolean" else F.col(v)
-        of = {"count": F.count, "mean": F.avg, "median": F.median, "sum": F.sum, "std": F.stddev_samp, "min": F.min, "max": F.max}
-        made += [of[m](x).alias(f"{v}_{m}") for m in FIGURES]
+        middles[f"{v}_median"] = x
+        of = {"count": F.count, "mean": F.avg, "sum": F.sum, "std": F.stddev_samp, "min": F.min, "max": F.max}
+        made += [of[m](x).alias(f"{v}_{m}") for m in FIGURES if m != "median"]
     if aggregate_geometry and "geometry" in types:
         parts = F.collect_set("geometry")  # a union of geometries is a value of their size
         made.append(parts.alias("geometry"))
-    return df.agg(*made)
+    last = ["geometry"] if aggregate_geometry and "geometry" in types else []
+    return aggregated(df, [], made, middles).select(*(f"{v}_{m}" for v in names for m in FIGURES), *last)
 
 
 def _extreme(df: DataFrame, var: str, least: bool) -> DataFrame:
@@ -125,12 +129,7 @@ def add_dataset_values_to_geodataframe(gdf: DataFrame, ds: Cube, var_names: Any
     if "time" in ds.dims:
         if not time_name:
             raise ValidationError("the cube has times: name the table's column of time")
-        steps = ds.labels("time")
-        axis = F.array(*(F.lit(t).cast("timestamp_ntz") for t in steps)) if len(steps) <= 5000 else None
-        if axis is None:
-            raise ValidationError("too many time steps for a nearest time")
-        micros = lambda t: F.unix_micros(t.cast("timestamp"))
-        rows = rows.withColumn("_t", F.array_min(F.transform(axis, lambda t: F.struct(F.abs(micros(t) - micros(F.col(time_name).cast("timestamp_ntz"))).alias("d"), t.alias("t"))))["t"])
+        rows = with_nearest(rows, F.col(time_name).cast("timestamp_ntz"), ds.coord("time"), "_t")
         keys.append("_t")
     if interpolation == "nearest":
         placed = rows.withColumn("_iy", F.when(inside, F.round(fy).cast("int"))).withColumn("_ix", F.when(inside, F.round(fx).cast("int")))
@@ -140,9 +139,11 @@ def add_dataset_values_to_geodataframe(gdf: DataFrame, ds: Cube, var_names: Any
     y0, x0 = F.floor(F.least(F.greatest(fy, F.lit(0.0)), F.lit(len(lat) - 1.0))), F.floor(F.least(F.greatest(fx, F.lit(0.0)), F.lit(len(lon) - 1.0)))
     ty, tx = F.least(F.greatest(fy, F.lit(0.0)), F.lit(len(lat) - 1.0)) - y0, F.least(F.greatest(fx, F.lit(0.0)), F.lit(len(lon) - 1.0)) - x0
     corner = F.array(*(F.struct((y0 + a).cast("int").alias("_iy"), (x0 + b).cast("int").alias("_ix"), ((ty if a else 1 - ty) * (tx if b else 1 - tx)).alias("_w")) for a in (0, 1) for b in (0, 1)))
-    each = rows.withColumn("_k", F.explode(corner)).select("*", "_k.*").where((F.col("_w") > 0) & inside)
-    met = each.join(cells, keys, "left").groupBy("_id").agg(*(F.when(F.count(F.when(F.col(f"_v_{v}").isNull(), 1)) == 0, F.sum(F.col(f"_v_{v}") * F.col("_w"))).alias(f"{var_prefix or ''}{v}") for v in names))
-    return rows.select("_id", *gdf.columns).join(met, "_id", "left").drop("_id")
+    each = rows.withColumn("_k", F.explode(F.when(inside, F.filter(corner, lambda c: c["_w"] > 0)).otherwise(F.array(corner[0])))).withColumn("_in", inside).select("*", "_k.*")
+    met = each.join(cells, keys, "left")
+    value = lambda v: F.when(F.first("_in") & (F.count(F.when(F.col(f"_v_{v}").isNull(), 1)) == 0), F.sum(F.col(f"_v_{v}") * F.col("_w")))
+    own = met.groupBy("_id").agg(F.first(F.struct(*(F.col(f"`{c}`") for c in gdf.columns))).alias("_row"), *(value(v).alias(f"{var_prefix or ''}{v}") for v in names))
+    return own.select("_row.*", *(f"{var_prefix or ''}{v}" for v in names))
 
 
 @op(tags=("filter", "geometric"), gdf=dict(data_type=DataFrameLike), location=dict(data_type=GeometryLike), max_results=dict(data_type=int), max_dist=dict(data_type=float))

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cube import Cube, ValidationError
+from ..cube import Cube, ValidationError, small
 from ..functions import geometry as g
 from ..likes import VarNamesLike
 from ..op import op
 
-MOST_EDGES = 200_000
+#: Degrees of latitude of a band of edges.
+BAND = 1.0
 
 
 class Regions:
@@ -38,21 +39,32 @@ class Regions:
         return rows
 
 
-def _edges(ds: Cube, rows: list) -> DataFrame:
-    edges = [(i, *map(float, e), *s.bounds) for i, _, _, s in rows for e in g._edges(s)]
-    df = ds.df.sparkSession.createDataFrame(edges, "code int, x1 double, y1 double, x2 double, y2 double, w double, s double, e double, n double")
-    return F.broadcast(df) if len(edges) <= MOST_EDGES else df
+def scan_lines(lats: DataFrame, rows: list) -> DataFrame:
+    """lat, code, low, high: the pieces of each latitude inside of each region, from low on and up to, not with, high.
+
+    Edges are cut into bands of latitude and meet the latitudes of their band; where a latitude crosses a region's edges,
+    from the east the first crossing and the second bound a piece, the third and the fourth, and so on.
+    """
+    edges = [(i, *map(float, e)) for i, _, _, s in rows for e in g._edges(s) if e[1] != e[3]]
+    spark = lats.sparkSession
+    df = spark.createDataFrame(edges, "code int, x1 double, y1 double, x2 double, y2 double")
+    band = lambda y: F.floor(y / BAND).cast("int")
+    cut = df.select("*", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))).alias("band"))
+    y = F.col("lat")
+    crosses = (F.col("y1") > y) != (F.col("y2") > y)
+    at = (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    met = lats.withColumn("band", band(y)).join(small(cut), "band").where(crosses).select("lat", "code", at.alias("x"))
+    line = Window.partitionBy("lat", "code").orderBy(F.desc("x"))
+    return met.select("lat", "code", F.col("x").alias("high"), F.lead("x").over(line).alias("low"), F.row_number().over(line).alias("k")).where("k % 2 = 1 AND low < high").select("lat", "code", "low", "high")
 
 
 def region_codes(ds: Cube, regions: Regions, names: Any = None) -> DataFrame:
-    """lat, lon, code of the first region that holds each pixel's centre: rays to the east cross its edges an odd number of times."""
+    """lat, lon, code of the first region that holds each pixel's centre: it stands in a piece of its latitude inside of the region."""
     rows = regions.chosen(names)
     cells = ds.df.select("lat", "lon").distinct()
-    x, y = F.col("lon"), F.col("lat")
-    hit = ((F.col("y1") > y) != (F.col("y2") > y)) & (x < (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1"))
-    met = cells.join(_edges(ds, rows), x.between(F.col("w"), F.col("e")) & y.between(F.col("s"), F.col("n")) & hit)
-    inside = met.groupBy("lat", "lon", "code").agg((F.count("*") % 2).alias("odd")).where("odd = 1")
-    return inside.groupBy("lat", "lon").agg(F.min("code").alias("code"))
+    pieces = scan_lines(ds.df.select("lat").distinct(), rows)
+    met = cells.join(small(pieces), "lat").where((F.col("lon") >= F.col("low")) & (F.col("lon") < F.col("high")))
+    return met.groupBy("lat", "lon").agg(F.min("code").alias("code"))
 
 
 @op(tags=("regions",))

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cube import Cube, ValidationError, small
-from ..functions.weights import neighbours, overlap, spline_matrix, table
+from ..functions.splines import stretched
+from ..functions.weights import neighbours, overlap, table
 from ..op import op
 
 DOWN = ("first", "last", "mean", "mode", "var", "std", "min", "max")
@@ -145,19 +146,17 @@ def resample(ds: Cube, x_res: float, y_res: float, upsampling_float: Any = "bili
 def _spline(cells: DataFrame, shape: tuple[int, int], out: tuple[int, int], order: int, down: str, group: list[str]) -> DataFrame:
     mid = (min(shape[0], out[0]), min(shape[1], out[1]))
     cells = downsample_2d(cells, shape, mid, down, 1, group) if mid != shape else cells
-    my, mx = spline_matrix(mid[0], out[0], order), spline_matrix(mid[1], out[1], order)
-    types = {f.name: f.dataType.simpleString() for f in cells.schema}
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        block = np.full(mid, np.nan)
-        block[part["iy"], part["ix"]] = part["v"].to_numpy(float)
-        made = my @ block @ mx.T
-        iy, ix = np.divmod(np.arange(out[0] * out[1]), out[1])
-        return pd.DataFrame({**{g: [part[g].iloc[0]] * len(iy) for g in group}, "iy": iy, "ix": ix, "v": made.ravel()})
-
-    fields = ", ".join([*(f"{g} {types[g]}" for g in group), "iy int, ix int, v double"])
-    made = cells.groupBy(*group).applyInPandas(run, fields)
-    return made.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    spark = cells.sparkSession
+    along = lambda axis, n, m, df: _weighted(df, axis, table(spark, stretched(n, m, order), [f"_o{axis}", axis, "_w"]), [*group, {"iy": "ix", "ix": "iy"}[axis]])
+    return along("ix", mid[1], out[1], along("iy", mid[0], out[0], cells)).select(*group, "iy", "ix", "v")
+
+
+def _weighted(cells: DataFrame, axis: str, weights: DataFrame, keep: list[str]) -> DataFrame:
+    """Sums of v along one axis by a table of weights; missing where a cell with a weight is."""
+    needed = weights.groupBy(f"_o{axis}").agg(F.count("*").alias("_n"))
+    met = cells.join(weights.join(needed, f"_o{axis}"), axis)
+    value = F.when(F.count("v") == F.max("_n"), F.sum(F.col("v") * F.col("_w")))
+    return met.groupBy(*keep, f"_o{axis}").agg(value.alias("v")).withColumnRenamed(f"_o{axis}", axis)
 
 
 def check_grid(labels: list[float], dim: str) -> float:

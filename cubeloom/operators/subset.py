@@ -58,16 +58,19 @@ def subset_spatial(ds: Cube, region: Any, mask: bool = True) -> Cube:
     dx, dy = spatial_step(ds, "lon"), spatial_step(ds, "lat")
     lat, lon = F.col("lat"), F.col("lon")
     rows = lat.between(max(-90.0, y0 - dy / 2), min(90.0, y1 + dy / 2))
+    turned = shape
     if anti:
-        if not shape.is_box and mask:
-            raise NotImplementedError("a polygon other than a box that crosses the 180th meridian cannot be a mask")
+        if given is region:  # a polygon, whose points tell nothing of the way round
+            turned = g.Geometry(shape.kind, [[(x + 360 if x < 0 else x, y) for x, y in r] for r in shape.parts], shape.shells)
+            x1, x0 = turned.bounds[0], turned.bounds[2] - 360  # from the west end over the meridian to the east end
         df = ds.df.where(rows & ((lon >= x1 - dx / 2) | (lon <= x0 + dx / 2)))
     else:
         df = ds.df.where(rows & lon.between(max(-180.0, x0 - dx / 2), min(180.0, x1 + dx / 2)))
     if df.isEmpty():
         raise ValidationError("Can not select a region outside dataset boundaries.")
-    if not anti and mask and not shape.is_box:
-        df = df.select(*ds.dims, *(F.when(corner_mask(lat, lon, shape, dx, dy), F.col(v)).alias(v) for v in ds.vars))
+    if mask and not shape.is_box:
+        east = F.when(lon < 0, lon + 360).otherwise(lon) if anti else lon  # both sides of the meridian on one plane
+        df = df.select(*ds.dims, *(F.when(corner_mask(lat, east, turned, dx, dy), F.col(v)).alias(v) for v in ds.vars))
     return adjust_spatial(ds.on(df), (x1, y0, x0, y1) if anti else (x0, y0, x1, y1))
 
 
