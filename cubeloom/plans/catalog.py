@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..cube import Cube
 from ..functions import geometry as g
+from ..functions.query_parser import parse_query
 from ..operators import aggregate, alignment, anomaly, arithmetics, correlation, data_frame, gapfilling, normalize, outliers, plotdata, regions, resampling, select, subset, timeseries, utility
+from ..shipping import scratch
+from ..sources import zarr
 from ..streaming.windows import windowed_statistics
 from .chain import execute_operations, new_expression_op
 from .registry import query
@@ -548,15 +551,117 @@ def gapfill_1step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r(gapfilling.fill_step(holes, []))
 
 
-@query()
+_ROUND = """(SELECT g.iy, g.ix, coalesce(g.v, CASE WHEN n.w >= 1 THEN n.s / n.w END) AS v FROM {0} g LEFT JOIN (
+  SELECT a.iy, a.ix, sum(k * b.v) AS s, sum(k) AS w FROM {0} a
+  JOIN (VALUES (-1, -1, 0.5), (-1, 0, 0.7), (-1, 1, 0.5), (0, -1, 0.7), (0, 1, 0.7), (1, -1, 0.5), (1, 0, 0.7), (1, 1, 0.5)) o(dy, dx, k) ON true
+  JOIN {0} b ON b.iy = a.iy + dy AND b.ix = a.ix + dx AND b.v IS NOT NULL GROUP BY 1, 2) n USING (iy, ix))"""
+_ROUNDS = 12  # more than the gaps of the queries need; a round after the last one changes nothing
+_FILLED = f"WITH r0 AS (SELECT iy, ix, CASE WHEN (iy * 7 + ix * 3) % 31 < 7 THEN v END AS v FROM {GRID}), " + ", ".join(f"r{k + 1} AS {_ROUND.format(f'r{k}')}" for k in range(_ROUNDS)) + f" SELECT CAST(iy AS DOUBLE) AS lat, CAST(ix AS DOUBLE) AS lon, round(v, 6) AS v FROM r{_ROUNDS}"
+
+
+def _gaps(spark: SparkSession, sf_dir: str) -> Cube:
+    """Most cells are gaps, in clusters, so that filling takes several rounds."""
+    holes = prices(spark, sf_dir).select(F.col("iy").cast("double").alias("lat"), F.col("ix").cast("double").alias("lon"), F.when((F.col("iy") * 7 + F.col("ix") * 3) % 31 < 7, F.col("v")).alias("v"))
+    return Cube.of(holes, ("lat", "lon"))
+
+
+@query(_FILLED)
 def gapfill_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    holes = prices(spark, sf_dir).select(F.col("iy").cast("double").alias("lat"), F.col("ix").cast("double").alias("lon"), F.when((F.col("iy") * 7 + F.col("ix")) % 3 == 0, F.col("v")).alias("v"))
-    return r(gapfilling.gapfill(Cube.of(holes, ("lat", "lon"))).df)
+    return r(gapfilling.gapfill(_gaps(spark, sf_dir)).df)
+
+
+@query(_FILLED)
+def gapfill_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r(gapfilling.gapfill(_gaps(spark, sf_dir), tile=16, steps=2).df)
+
+
+@query(f"SELECT date_trunc('day', time)::TIMESTAMP AS time, lat, lon, round(avg(value), 6) AS value FROM {EV} WHERE lat BETWEEN -30 AND 45 AND lon BETWEEN -100 AND 20 AND time >= '2024-01-05' AND time < '2024-01-20' GROUP BY 1, 2, 3")
+def zarr_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as a group of chunks, read back with a range of time and a box in the scan."""
+    cube = ev(spark, sf_dir)
+    days = Cube.of(cube.df.groupBy(F.date_trunc("DAY", "time").cast("timestamp_ntz").alias("time"), "lat", "lon").agg(F.avg("value").alias("value")), ("time", "lat", "lon"))
+    path = zarr.write_zarr(days, f"{scratch(spark, 'cube')}.zarr", {"lat": 10, "lon": 20})
+    df = zarr.read_zarr(spark, path, ["value"]).df
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    return r(df.where((F.col("time") >= at("2024-01-05")) & (F.col("time") < at("2024-01-20")) & F.col("lat").between(-30.0, 45.0) & F.col("lon").between(-100.0, 20.0) & F.col("value").isNotNull()))
+
+
+_RECT = "(SELECT c_custkey, (c_custkey * 37) % 200 - 100 AS x0, (c_custkey * 53) % 160 - 80 AS y0, (c_custkey * 37) % 200 - 100 + 10 * (1 + c_custkey % 13) AS x1, (c_custkey * 53) % 160 - 80 + 10 * (1 + c_custkey % 11) AS y1 FROM customer)"
+_MEET, _INNER = "x0 <= 50 AND x1 >= -50 AND y0 <= 40 AND y1 >= -40", "x0 < 50 AND x1 > -50 AND y0 < 40 AND y1 > -40"
+_TESTS = ("intersects", "disjoint", "within", "contains", "touches", "crosses")
+
+
+def _placed(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """A rectangle or its diagonal for each customer."""
+    k = F.col("c_custkey")
+    x0, y0 = (k * 37) % 200 - 100, (k * 53) % 160 - 80
+    x1, y1 = x0 + 10 * (1 + k % 13), y0 + 10 * (1 + k % 11)
+    points = [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)] if kind == "Polygon" else [(x0, y0), (x1, y1)]
+    coords = F.array(*(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in points))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.struct(F.lit(kind).alias("type"), coords.alias("coords"), F.lit(None).alias("ends")).cast(g.COLUMN).alias("geometry"))
+
+
+@query(f"SELECT c_custkey, {_MEET} AS intersects, NOT ({_MEET}) AS disjoint, x0 >= -50 AND x1 <= 50 AND y0 >= -40 AND y1 <= 40 AS within, x0 <= -50 AND x1 >= 50 AND y0 <= -40 AND y1 >= 40 AS contains, ({_MEET}) AND NOT ({_INNER}) AS touches, false AS crosses FROM {_RECT}")
+def query_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _placed(spark, sf_dir, "Polygon")
+    return df.select("c_custkey", *(parse_query(f"@{t}('POLYGON ((-50 -40, 50 -40, 50 40, -50 40, -50 -40))')", df).alias(t) for t in _TESTS))
+
+
+@query(f"""WITH d AS (SELECT *, [y0 + 40, -5 * x0 - 3 * y0 + 180, 5 * x0 - 3 * y0 + 180] AS p, [y1 + 40, -5 * x1 - 3 * y1 + 180, 5 * x1 - 3 * y1 + 180] AS q FROM {_RECT}),
+e AS (SELECT c_custkey,
+  greatest(CASE WHEN p[1] < 0 AND q[1] >= 0 THEN p[1] / (p[1] - q[1]) ELSE 0 END, CASE WHEN p[2] < 0 AND q[2] >= 0 THEN p[2] / (p[2] - q[2]) ELSE 0 END, CASE WHEN p[3] < 0 AND q[3] >= 0 THEN p[3] / (p[3] - q[3]) ELSE 0 END) AS low,
+  least(CASE WHEN q[1] < 0 AND p[1] >= 0 THEN p[1] / (p[1] - q[1]) ELSE 1 END, CASE WHEN q[2] < 0 AND p[2] >= 0 THEN p[2] / (p[2] - q[2]) ELSE 1 END, CASE WHEN q[3] < 0 AND p[3] >= 0 THEN p[3] / (p[3] - q[3]) ELSE 1 END) AS high,
+  (p[1] < 0 AND q[1] < 0) OR (p[2] < 0 AND q[2] < 0) OR (p[3] < 0 AND q[3] < 0) AS off,
+  (p[1] <= 0 AND q[1] <= 0) OR (p[2] <= 0 AND q[2] <= 0) OR (p[3] <= 0 AND q[3] <= 0) AS beside,
+  least(p[1], q[1], p[2], q[2], p[3], q[3]) < 0 AS leaves FROM d),
+t AS (SELECT *, NOT off AND low <= high AS meet, NOT beside AND low < high AS inner_ FROM e)
+SELECT c_custkey, meet AS intersects, NOT meet AS disjoint, inner_ AND NOT leaves AS within, false AS contains, meet AND NOT inner_ AS touches, inner_ AND leaves AS crosses FROM t""")
+def query_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _placed(spark, sf_dir, "LineString")
+    return df.select("c_custkey", *(parse_query(f"@{t}('POLYGON ((-60 -40, 60 -40, 0 60, -60 -40))')", df).alias(t) for t in _TESTS))
+
+
+_VISITS = "(SELECT o_orderkey, o_orderdate + to_seconds(CAST((o_orderkey * 7919) % 172800 AS BIGINT)) AS seen, CAST((o_orderkey * 37) % 360 - 180 AS DOUBLE) AS lon, CAST((o_custkey * 53) % 180 - 90 AS DOUBLE) AS lat FROM orders)"
+
+
+@query(f"""WITH s AS (SELECT DISTINCT time AS t FROM {LI}), n AS (
+  SELECT v.*, b.t AS low, a.t AS high FROM {_VISITS} v ASOF LEFT JOIN s b ON v.seen >= b.t ASOF LEFT JOIN s a ON v.seen <= a.t),
+k AS (SELECT *, CASE WHEN low IS NULL OR high - seen < seen - low THEN high ELSE low END AS t FROM n)
+SELECT o_orderkey, round(c.q, 6) AS l_quantity FROM k LEFT JOIN (SELECT time, lat, lon, avg(l_quantity) AS q FROM {LI} GROUP BY ALL) c
+ON k.t = c.time AND round((k.lat + 87) / 6) * 6 - 87 = c.lat AND round((k.lon + 177) / 6) * 6 - 177 = c.lon""")
+def add_values_nearest_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of the nearest cell and, as of each row's time, of the nearest step."""
+    o = table(spark, sf_dir, "orders")
+    at = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + (F.col("o_orderkey") * 7919) % 172800 * 1_000_000).cast("timestamp_ntz")
+    visits = o.select("o_orderkey", at.alias("at"), ((F.col("o_orderkey") * 37) % 360 - 180).cast("double").alias("lon"), ((F.col("o_custkey") * 53) % 180 - 90).cast("double").alias("lat"))
+    cube = li(spark, sf_dir, "l_quantity")
+    cells = Cube.of(cube.df.groupBy("time", "lat", "lon").agg(F.avg("l_quantity").alias("l_quantity")), cube.dims)
+    return r(data_frame.add_dataset_values_to_geodataframe(data_frame.as_geodataframe(visits), cells, time_name="at").select("o_orderkey", "l_quantity"))
+
+
+@query(f"""WITH c AS (SELECT lat, lon, avg(value) AS v FROM {EV} GROUP BY 1, 2), p AS (SELECT s_suppkey, (lat + 87) / 6 AS fy, (lon + 177) / 6 AS fx FROM {PTS}),
+q AS (SELECT s_suppkey, fy BETWEEN -0.5 AND 29.5 AND fx BETWEEN -0.5 AND 59.5 AS inside, least(greatest(fy, 0), 29) AS y, least(greatest(fx, 0), 59) AS x FROM p),
+w AS (SELECT s_suppkey, inside, floor(y) + a AS iy, floor(x) + b AS ix, (CASE WHEN a = 1 THEN y - floor(y) ELSE 1 - y + floor(y) END) * (CASE WHEN b = 1 THEN x - floor(x) ELSE 1 - x + floor(x) END) AS w FROM q, (VALUES (0), (1)) s(a), (VALUES (0), (1)) t(b)),
+j AS (SELECT s_suppkey, inside, w, v FROM w LEFT JOIN c ON c.lat = iy * 6 - 87 AND c.lon = ix * 6 - 177 WHERE w > 0)
+SELECT s_suppkey, CASE WHEN bool_and(inside) AND count(*) = count(v) THEN round(sum(v * w), 6) END AS value FROM j GROUP BY 1""")
+def add_values_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = aggregate.reduce(ev(spark, sf_dir), dim="time", apply_spatial_weighting=False)
+    return r(data_frame.add_dataset_values_to_geodataframe(pts(spark, sf_dir), cube, interpolation="linear").select("s_suppkey", "value"))
+
+
+_MONTHS = f"(SELECT date_trunc('month', time) AS month, lat, lon, avg(l_quantity) AS a, avg(l_extendedprice) AS b, avg(l_discount) AS x, avg(l_tax) AS y FROM {LI} GROUP BY 1, 2, 3)"
 
 
-@query()
+@query(f"""WITH s AS (SELECT lat, lon, count(*) AS n, covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(b, b) AS bb, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(y, y) AS yy,
+  covar_pop(a, x) AS ax, covar_pop(a, y) AS ay, covar_pop(b, x) AS bx, covar_pop(b, y) AS b_y FROM {_MONTHS} GROUP BY 1, 2),
+i AS (SELECT *, aa * bb - ab * ab AS d, xx * yy - xy * xy AS e FROM s),
+k AS (SELECT *, (bb * ax - ab * bx) / d AS k1, (bb * ay - ab * b_y) / d AS k2, (aa * bx - ab * ax) / d AS k3, (aa * b_y - ab * ay) / d AS k4,
+  (yy * ax - xy * ay) / e AS l1, (xx * ay - xy * ax) / e AS l2, (yy * bx - xy * b_y) / e AS l3, (xx * b_y - xy * bx) / e AS l4 FROM i),
+m AS (SELECT *, k1 * l1 + k2 * l2 AS m1, k1 * l3 + k2 * l4 AS m2, k3 * l1 + k4 * l2 AS m3, k3 * l3 + k4 * l4 AS m4 FROM k)
+SELECT lat, lon, CASE WHEN n < 2 THEN NULL WHEN n <= 3 THEN 1.0 ELSE round(sqrt(least(1, ((m1 + m4) + sqrt(greatest(0, (m1 + m4) ^ 2 - 4 * (m1 * m4 - m2 * m3)))) / 2)), 4) END AS correlation FROM m""")
 def cca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = li(spark, sf_dir).df.groupBy(F.date_trunc("MONTH", "time").cast("timestamp_ntz").alias("time"), "lat", F.lit(0.0).alias("lon")).agg(F.avg("l_quantity").alias("a"), F.avg("l_extendedprice").alias("b"), F.avg("l_discount").alias("x"), F.avg("l_tax").alias("y"))
+    """Monthly means of two pairs of variables in each pixel; the SQL has the closed form of two by two."""
+    df = li(spark, sf_dir).df.groupBy(F.date_trunc("MONTH", "time").cast("timestamp_ntz").alias("time"), "lat", "lon").agg(F.avg("l_quantity").alias("a"), F.avg("l_extendedprice").alias("b"), F.avg("l_discount").alias("x"), F.avg("l_tax").alias("y"))
     cube = Cube.of(df, ("time", "lat", "lon"))
     return r(correlation.pixelwise_group_correlation(cube.select(["a", "b"]), cube.select(["x", "y"])).df, 4)
 

@@ -206,3 +206,28 @@ def test_open_ended_time_ranges(spark, tmp_path):
     for text, want in ((",2002-01-01", [1]), ("2000-01-01,2004-01-01", [1, 2])):
         cube, _ = pool.open_data(spark, "a.parquet", time_range=text, data_store_id=store)
         assert sorted(r["v"] for r in cube.df.collect()) == want, text
+
+
+def test_vector_files_of_all_kinds(spark, tmp_path):
+    from cubeloom.functions.geometry import COLUMN
+
+    hole = [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0), (0.0, 0.0), (3.0, 3.0), (6.0, 3.0), (6.0, 6.0), (3.0, 3.0)]
+    far = [(20.0, 20.0), (21.0, 20.0), (21.0, 21.0), (20.0, 20.0)]
+    rows = [
+        ("a", 1.5, ("Polygon", hole, [5])), ("b", 2.0, ("MultiPolygon", [*hole, *far], [5, 9])), ("c", -3.0, ("MultiLineString", [(0.0, 1.0), (2.0, 3.0), (5.0, 5.0), (6.0, 6.0), (7.0, 5.0)], [2])),
+        ("d <&>", None, ("MultiPoint", [(1.0, 2.0), (3.0, 4.0)], None)), ("é", 0.25, ("LineString", [(0.1, -1.0), (2.0, 3.0)], None)), ("f", 7.0, None),
+    ]
+    df = spark.createDataFrame(rows, f"place string, x double, geometry {COLUMN}").repartition(3)
+    plain = lambda d: sorted(str((r["place"], r["x"], None if r["geometry"] is None else (r["geometry"]["type"], [tuple(p) for p in r["geometry"]["coords"]], r["geometry"]["ends"]))) for r in d.collect())
+    for write, read, path in ((vector.write_geojson, vector.read_geojson, "y.geojson"), (vector.write_kml, vector.read_kml, "y.kml")):
+        write(df, str(tmp_path / path))
+        assert plain(read(spark, str(tmp_path / path))) == plain(df), path
+        with pytest.raises(Exception, match="(?i)exists"):
+            write(df, str(tmp_path / path))
+        write(df.limit(2), str(tmp_path / path), True)
+        assert read(spark, str(tmp_path / path)).count() == 2
+        write(df.limit(0), str(tmp_path / f"none-{path}"))
+    one = tmp_path / "z.kml"
+    one.write_text('<?xml version="1.0"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>' + "".join(f'<Placemark><name>n{k}</name><ExtendedData><Data name="v"><value>{k}</value></Data></ExtendedData><Point><coordinates>{k},2,0</coordinates></Point></Placemark>' for k in range(300)) + "</Document></kml>")
+    got = vector.read_kml(spark, str(one))
+    assert dict(got.dtypes)["v"] == "bigint" and {(r["Name"], r["v"], r["geometry"]["coords"][0]["x"]) for r in got.collect()} == {(f"n{k}", k, float(k)) for k in range(300)}
