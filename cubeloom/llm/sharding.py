@@ -4,7 +4,7 @@ The root holds all rows and all shards. A node of m shards is cut along the dime
 the weighted quantile that gives half of its shards (rounded up) their share of its bytes, until a leaf is one shard, which
 then has the target bytes. All nodes of a level are cut in common passes: bytes are summed in bins of the nodes' ranges, the
 bin that holds the wanted weight is found by a running sum over a node's bins, and its range is the next pass's. What reaches
-the driver is a row for each node; a row's node is a column expression over its keys.
+the driver is a row for each node; after each level the slim rows are stored with their node.
 
 Along a dimension rows are ordered by the coordinate, then by their text's hash, then by their id's, then by place. So equal
 texts stand together wherever the dimensions say the same of them, and share a shard, unless a boundary of their group is
@@ -89,13 +89,6 @@ def _left(node: Node) -> Column:
     return last
 
 
-def shard_of(node: Node) -> Column:
-    """The first shard of the leaf that a row falls to."""
-    if not node.sides:
-        return F.lit(node.first)
-    return F.when(_left(node), shard_of(node.sides[0])).otherwise(shard_of(node.sides[1]))
-
-
 @dataclass
 class Range:
     """Where a node's cut is looked for: from low to high in the key of number k, behind keys that are fixed, with so many bytes before."""
@@ -142,17 +135,16 @@ def _pass(rows: DataFrame, ranges: list[Range], slack: tuple[float, float]) -> l
     return left
 
 
-def grow(rows: DataFrame, dims: int, shards: int | None = None, target_bytes: int | None = None) -> Node:
-    """The tree over rows of keyed(), of so many shards, or of as many as make leaves of the target bytes."""
+def grow(rows: DataFrame, dims: int, shards: int | None = None, target_bytes: int | None = None) -> tuple[Node, DataFrame]:
+    """The tree over rows of keyed(), of so many shards, or of as many as make leaves of the target bytes; the rows, stored, with the shard in the column leaf."""
     total = rows.agg(F.sum("size")).first()[0] or 0
     shards = shards or max(1, round(total / target_bytes))
     root = Node(0, shards)
     slack = (NEAR * total / shards, WHOLE * total / shards)
-    level = [root]
+    level, rows = [root], stored(rows.withColumn("leaf", F.lit(0)), "leaves")
     while level := [n for n in level if n.shards > 1]:
-        placed_rows = rows.withColumn("leaf", shard_of(root))
         ends = [f(f"x{k}") for k in range(dims) for f in (F.min, F.max)]
-        seen = {r["leaf"]: r for r in placed_rows.groupBy("leaf").agg(F.sum("size").alias("w"), *ends).collect()}
+        seen = {r["leaf"]: r for r in rows.groupBy("leaf").agg(F.sum("size").alias("w"), *ends).collect()}
         level, ranges = [n for n in level if n.first in seen], []
         for n in level:
             r = seen[n.first]
@@ -161,12 +153,15 @@ def grow(rows: DataFrame, dims: int, shards: int | None = None, target_bytes: in
             more = (n.shards + 1) // 2
             ranges.append(Range(n, r["w"] * more / n.shards, *span[n.dim]))
         while ranges:
-            ranges = _pass(placed_rows, ranges, slack)
+            ranges = _pass(rows, ranges, slack)
+        leaf = F.col("leaf")
         for n in level:
             more = (n.shards + 1) // 2
             n.sides = [Node(n.first, more), Node(n.first + more, n.shards - more)]
+            leaf = F.when((F.col("leaf") == n.first) & ~_left(n), n.first + more).otherwise(leaf)
+        rows = stored(rows.withColumn("leaf", leaf), "leaves")
         level = [s for n in level for s in n.sides]
-    return root
+    return root, rows
 
 
 def numbered(rows: DataFrame, shard: Column) -> DataFrame:
@@ -190,7 +185,8 @@ def assigned(docs: DataFrame, shards: int | None = None, target_bytes: int | Non
     ship(docs.sparkSession)
     keep = {"id": quoted(id_col)} if keep is None else keep
     rows, n = keyed(docs, text_col, id_col, dims, keep)
-    found = numbered(rows, shard_of(grow(rows, n, shards, target_bytes)))
+    _, leaves = grow(rows, n, shards, target_bytes)
+    found = numbered(leaves, F.col("leaf"))
     return found.select(*keep, "size", "text_crc32", "shard", "slot")
 
 
