@@ -7,13 +7,16 @@ toxic texts from clean ones. Every word has its whole kernel values with all lan
 subsequences, and a word's weight of each of these, times the landmarks' weights, is the kernel. A sentence is the
 elementwise maximum of its words' values, whitened by the landmarks' own kernel matrix; a linear machine is trained on
 labelled sentences (of a toxic text, the sentence that looks worst stands for the label and is chosen again between
-fits). A text scores by its worst sentence.
+fits). Some toxic texts have no such sentence, but words with certain stems far more often than clean texts do. Further
+landmarks are such stems; a text's mean kernel value with each is what a second machine is trained on, with the toxic texts
+that the first one misses. A text scores by its worst sentence or by its means, whichever is worse.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 from itertools import combinations, compress
@@ -30,6 +33,12 @@ LENGTH, DECAY, POWER, PIECE = 3, 0.8, 4, 32
 SEEN_BITS = 24
 #: The weight in training of a hidden form of a landmark, of which there are a few, against that of a text.
 HIDDEN = 10.0
+#: Stems at most, their letters, and words that are added to a text's when a share of them is taken, so that few words say little.
+STEMS, STEM_LETTERS, BESIDES = 24, (4, 5, 6, 7), 50
+#: One clean text in so many may stand among the toxic ones.
+MISTAKEN = 400
+#: The power of a stem's kernel value: few words hold most of its subsequences and not the stem.
+STEM_POWER = 8
 NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
@@ -162,15 +171,20 @@ class Model:
     bias: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
+    stems: int = 0  # the last landmarks
+    gamma: np.ndarray = field(default_factory=lambda: np.zeros(2))
+    base: float = -30.0
 
     def __post_init__(self) -> None:
+        self.first = len(self.landmarks) - self.stems  # landmarks of sentences
         self.kernel = Landmarks(self.landmarks)
-        self.own = subsequence_kernel(self.landmarks, self.landmarks) / scale(self.landmarks)
+        own = subsequence_kernel(self.landmarks, self.landmarks)
+        self.own, self.held = own / scale(self.landmarks), own[self.first :]
         self.known: dict[str, int] = {"": 0}
         self.rows = np.zeros((1, len(self.landmarks)), np.float32)
 
     def __reduce__(self):
-        return Model, (self.landmarks, self.alpha, self.bias, self.slope, self.shift)
+        return Model, (self.landmarks, self.alpha, self.bias, self.slope, self.shift, self.stems, self.gamma, self.base)
 
     def values(self, words: list[str]) -> np.ndarray:
         """For each word and landmark the kernel, in parts of the landmark's own; of a word in pieces, the greatest."""
@@ -178,7 +192,11 @@ class Model:
         out = np.zeros((len(words), len(self.landmarks)))
         if pieces and self.landmarks:
             text = [p for _, p in pieces]
-            np.maximum.at(out, [i for i, _ in pieces], (self.kernel.values(text) / scale(text)[:, None] / self.own) ** POWER)
+            k = self.kernel.values(text)
+            value = (k / scale(text)[:, None] / self.own) ** POWER
+            if self.stems:  # a stem counts for what a word holds of it, whatever else it holds
+                value[:, self.first :] = np.minimum(1.0, k[:, self.first :] / self.held) ** STEM_POWER
+            np.maximum.at(out, [i for i, _ in pieces], value)
         return out
 
     def learn(self, words: set[str], most: int = 200_000) -> None:
@@ -197,22 +215,29 @@ class Model:
     def sentences(self, words: list[str]) -> np.ndarray:
         """A row of landmark values for each sentence."""
         if not words:
-            return np.zeros((1, len(self.landmarks)), np.float32)
+            return np.zeros((1, self.first), np.float32)
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         ends = np.fromiter((w[-1:] in (".", "!", "?") for w in words), bool, len(words))
         starts = np.concatenate(([0], np.nonzero(ends[:-1])[0] + 1))
-        return np.maximum.reduceat(self.rows[at], starts, axis=0)
+        return np.maximum.reduceat(self.rows[at, : self.first], starts, axis=0)
+
+    def means(self, words: list[str]) -> np.ndarray:
+        """The mean value of a text's words with the stem that they have most of, and how short the text is: what some words of a stem say falls with the length that they are found in."""
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return np.array([self.rows[at, self.first :].sum(axis=0, dtype=float).max(initial=0.0), BESIDES]) / (len(words) + BESIDES)
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
+        """The log odds of a text by its worst sentence or, if it is worse, by its stems."""
         words = [words_of(x) for x in texts]
         fresh: set[str] = set()
         for w in words:
             fresh.update(w)
         self.learn(fresh)
-        return np.array([(self.sentences(w) @ self.alpha).max() + self.bias for w in words])
+        one = self.slope * (np.array([(self.sentences(w) @ self.alpha).max() for w in words]) + self.bias) + self.shift
+        return np.maximum(one, np.array([self.means(w) @ self.gamma + self.base for w in words])) if self.stems else one
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.margins(texts), -30, 30)))
 
 
 def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = 64) -> list[str]:
@@ -273,6 +298,82 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = 6
     return chosen
 
 
+def told_by_words(words: list[list[str]], y: np.ndarray, part: float = 0.03) -> set[int]:
+    """The toxic texts with a word that no clean text has and that many toxic texts have."""
+    letters = {w: NOT_LETTER.sub("", w) for w in {w for x in words for w in x}}
+    clean = {letters[w] for x, k in zip(words, y) if not k for w in x}
+    own = {i: {letters[w] for w in words[i]} - clean - {""} for i in np.nonzero(y)[0].tolist()}
+    times = Counter(w for v in own.values() for w in v)
+    told = {w for w, k in times.items() if k >= max(4, part * len(own))}
+    return {i for i, v in own.items() if v & told}
+
+
+def choose_stems(words: list[list[str]], y: np.ndarray, most: int = STEMS) -> tuple[list[str], set[int]]:
+    """Strings of letters that clean texts have too, but nearly none in such a share of its words as toxic texts do, chosen one by one to cover the toxic texts; and the texts that they cover."""
+    pieces: dict[str, tuple[str, ...]] = {}
+
+    def grams(w: str) -> tuple[str, ...]:
+        if w not in pieces:
+            k = NOT_LETTER.sub("", w)
+            pieces[w] = tuple({k[i : i + n] for n in STEM_LETTERS for i in range(len(k) - n + 1)}) if len(k) <= PIECE else ()
+        return pieces[w]
+
+    def counted(x: list[str], known: dict | None = None) -> Counter:
+        out: Counter = Counter()
+        for w, k in Counter(x).items():
+            for g in grams(w):
+                if known is None or g in known:
+                    out[g] += k
+        return out
+
+    # near copies, which have the least hash of five words in common, count once
+    alike = [min((zlib.crc32(" ".join(x[i : i + 5]).encode()) for i in range(max(1, len(x) - 4)))) for x in words]
+    toxic = [x for x, k in zip(words, y) if k]
+    often: Counter = Counter()  # toxic texts with a string at least three times
+    for x in toxic:
+        often.update(g for g, k in counted(x).items() if k >= 3)
+    often = Counter({g: k for g, k in often.items() if k >= max(3, len(toxic) // 100)})
+    shares: dict[str, list[tuple[float, int]]] = {g: [] for g in often}
+    clean: dict[str, list[float]] = {g: [] for g in often}
+    pieces.clear()
+    for i, (x, label) in enumerate(zip(words, y)):
+        for g, k in counted(x, often).items():
+            if label:
+                shares[g].append((k / (len(x) + BESIDES), i))
+            else:
+                clean[g].append(k / (len(x) + BESIDES))
+    spare, rate = int((len(words) - len(toxic)) / MISTAKEN), len(toxic) / max(1, len(words) - len(toxic))  # clean texts that may be beyond
+    shared = [g for g, v in clean.items() if len(v) * rate > 0.05 * len(shares[g])]  # others can be landmarks of sentences
+    edge = {g: 1.1 * (sorted(clean[g])[-spare - 1] if len(clean[g]) > spare else 0.0) + 1e-3 for g in shared}
+    beyond = {g: {i for s, i in shares[g] if s > edge[g]} for g in shared}
+    covers = {g: {alike[i] for i in v} for g, v in beyond.items()}
+    least = max(6.0, 4 + 4 * spare * rate)  # far more than chance puts beyond an edge that `spare` clean texts are beyond
+    left, chosen = {i for c in covers.values() for i in c}, []
+    all_covered: set[int] = set()
+    while left and len(chosen) < most:
+        best = max(covers, key=lambda g: (len(covers[g] & left), -edge[g], len(g), g))
+        if len(covers[best] & left) < least:
+            break
+        chosen.append(best)
+        left -= covers[best]
+        all_covered |= beyond[best]
+    return chosen, all_covered
+
+
+def _odds(m: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the log odds of a margin, by Platt's fit."""
+    a, b = 4.0, 0.0
+    n1, n0 = (label == 1).sum(), (label == 0).sum()
+    aim = np.where(label == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
+        g = np.array([((p - aim) * m).sum() + 0.01 * a, (p - aim).sum()])
+        h = p * (1 - p)
+        step = np.linalg.solve(np.array([[(h * m * m).sum() + 0.01, (h * m).sum()], [(h * m).sum(), h.sum() + 1e-6]]), g)
+        a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
+    return float(a), float(b)
+
+
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss, by Newton steps over the rows inside the margin."""
     w = np.zeros(x.shape[1] + 1)
@@ -300,13 +401,16 @@ def gapped(word: str) -> list[str]:
     return [word[:k] + word[k - 1 : k] + word[k:], word[:k] + "x" + word[k:], word[:k] + word[k + 1 :]]
 
 
-def fit(texts: list[str | None], labels: list[int], rounds: int = 3) -> Model:
-    """Train on labelled texts. Without any text of one of the labels, the score is the share of the other."""
-    y = np.array(labels)
-    pool: dict[str, str] = {}  # equal words share one string
-    words = [[pool.setdefault(w, w) for w in words_of(t)] for t in texts]
-    letters = {w: NOT_LETTER.sub("", w) for w in list(pool)}
-    distinct = [{pool.setdefault(letters[w], letters[w]) for w in x} for x in words]
+def fit_sentences(words: list[list[str]], y: np.ndarray, apart: set[str] = frozenset(), rounds: int = 3) -> Model:
+    """The landmarks, none of words set apart, and the machine of sentences."""
+    letters: dict[str, str] = {}
+    pool: dict[str, str] = {}  # equal strings are one
+    for x in words:
+        for w in x:
+            if w not in letters:
+                k = NOT_LETTER.sub("", w)
+                letters[w] = pool.setdefault(k, k)
+    distinct = [{letters[w] for w in x if w not in apart} for x in words]
     chosen = choose_landmarks([d for d, k in zip(distinct, y) if k], [d for d, k in zip(distinct, y) if not k])
     if not chosen:
         share = (y.sum() + 0.5) / (len(y) + 1.0)
@@ -334,18 +438,43 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 3) -> Model:
         model.alpha, model.bias = white @ beta, bias
         worth = [s @ model.alpha for s in sentences]
     # what is hidden alone in a text counts as one more toxic text, so that the score is not set by texts full of insults
-    m = np.concatenate(([w.max() for w in worth], hidden @ model.alpha)) + model.bias
-    label = np.concatenate((y, np.ones(len(hidden))))
-    a, b = 4.0, 0.0
-    n1, n0 = (label == 1).sum(), (label == 0).sum()
-    aim = np.where(label == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
-        g = np.array([((p - aim) * m).sum() + 0.01 * a, (p - aim).sum()])
-        h = p * (1 - p)
-        step = np.linalg.solve(np.array([[(h * m * m).sum() + 0.01, (h * m).sum()], [(h * m).sum(), h.sum() + 1e-6]]), g)
-        a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
-    return Model(chosen, model.alpha, model.bias, float(a), float(b))  # without the words that were kept
+    worst = np.array([w.max() for w in worth]) + model.bias
+    a, b = _odds(np.concatenate((worst, hidden @ model.alpha + model.bias)), np.concatenate((y, np.ones(len(hidden)))))
+    return Model(chosen, model.alpha, model.bias, a, b)  # without the words that were kept
+
+
+def fit(texts: list[str | None], labels: list[int]) -> Model:
+    """Train on labelled texts: the stems first, then sentences on the toxic texts that stems do not cover. Without any text of one of the labels, the score is the share of the other."""
+    y = np.array(labels, int)
+    pool: dict[str, str] = {}  # equal words share one string
+    words = [[pool.setdefault(w, w) for w in words_of(t)] for t in texts]
+    plain = told_by_words(words, y)
+    kept = [i for i in range(len(y)) if i not in plain]
+    stems, some = choose_stems([words[i] for i in kept], y[kept])
+    covered = {kept[i] for i in some}
+    # a toxic text with some words of a stem is one of those too, and these words tell nothing of sentences
+    held = {w for w in pool if any(s in w for s in stems)}
+    covered |= {i for i in kept if y[i] and sum(w in held for w in words[i]) > 1}
+    rest = [i for i in range(len(y)) if i not in covered]
+    found = fit_sentences([words[i] for i in rest], y[rest], held)
+    if not stems:
+        return found
+    gauge, means, label = Model(stems, stems=len(stems)), [], []
+    for i, x in enumerate(words):
+        if i in covered or not y[i]:
+            gauge.learn(set(x), 60_000)
+            means.append(gauge.means(x))
+            label.append(int(y[i]))
+    x, told = np.array(means), np.array(label)
+    spread = np.maximum(x.std(axis=0), 1e-9)
+    aim, ones = np.where(told == 1, 1.0, -1.0), np.ones(len(x))
+    beta, bias = _machine(x / spread, aim, ones)
+    # a clean text in MISTAKEN may be labelled wrongly: the ones that look worst do not pull the machine to themselves
+    odd = np.argsort(np.where(told == 0, x / spread @ beta, -np.inf), kind="stable")[len(x) - int((told == 0).sum() / MISTAKEN) :]
+    ones[odd] = 0
+    beta, bias = _machine(x / spread, aim, ones)
+    c, d = _odds((x / spread @ beta + bias)[ones > 0], told[ones > 0])
+    return Model([*found.landmarks, *stems], found.alpha, found.bias, found.slope, found.shift, len(stems), c * beta / spread, c * bias + d)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1200, max_clean: int = 3000, max_bytes: int = 24 << 20) -> Model:
