@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import by_batch, components, fresh, join_hot, placed, quoted, row_id, shared_dir, small_batches
 
@@ -56,13 +57,13 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3) -> D
     """All columns of docs but the text, and fp: the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
     kept = [f for f in docs.schema if f.name != text_col]
-    slim = docs.select(F.col(f"`{text_col}`").cast("binary").alias("_text"), *(F.col(f"`{f.name}`") for f in kept))
+    slim = docs.select(quoted(text_col).cast("binary").alias("_text"), *(quoted(f.name) for f in kept))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(x, shingle) for x in batch.column(0).to_pylist()], np.uint64)
         return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps.view(np.int64))], [*batch.schema.names[1:], "fp"])
 
-    return by_batch(slim, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "fp long"]))
+    return by_batch(slim, run, T.StructType([*kept, T.StructField("fp", T.LongType())]))
 
 
 def _signed(x: int) -> int:

@@ -114,3 +114,9 @@ def test_edge_cases(spark):
 def test_majority_is_strict():
     assert simhash.majority(np.array([1, 2], np.uint64)) == 0
     assert simhash.majority(np.array([3, 3, 4], np.uint64)) == 3
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c d", "x", 2), (2, "a b c d", None, 3)]).toDF("doc_id", "text", "od`d", "a.b")
+    assert [r["od`d"] for r in simhash.keep_one(df).collect()] == ["x"] and simhash.near_duplicates(df).count() == 2
+    assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).columns == df.columns
