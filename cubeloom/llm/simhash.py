@@ -57,13 +57,15 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3) -> D
     """All columns of docs but the text, and fp: the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
     kept = [f for f in docs.schema if f.name != text_col]
-    slim = docs.select(quoted(text_col).cast("binary").alias("_text"), *(quoted(f.name) for f in kept))
+    plain = [f"_c{i}" for i in range(len(kept))]  # names of any marks are set aside
+    slim = docs.select(quoted(text_col).cast("binary").alias("_text"), *(quoted(f.name).alias(n) for f, n in zip(kept, plain)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(x, shingle) for x in batch.column(0).to_pylist()], np.uint64)
-        return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps.view(np.int64))], [*batch.schema.names[1:], "fp"])
+        return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps.view(np.int64))], [*plain, "fp"])
 
-    return by_batch(slim, run, T.StructType([*kept, T.StructField("fp", T.LongType())]))
+    made = by_batch(slim, run, T.StructType([*(T.StructField(n, f.dataType) for f, n in zip(kept, plain)), T.StructField("fp", T.LongType())]))
+    return made.select(*(F.col(n).alias(f.name) for f, n in zip(kept, plain)), "fp")
 
 
 def _signed(x: int) -> int:
