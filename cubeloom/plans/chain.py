@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import ast
+import os
+import re
 import subprocess
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce as fold
 from typing import Any
 
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,23 +120,74 @@ def new_expression_op(name: str, expression: str, output: str = "result", regist
     return registry.add(operation) if registry is not None else operation
 
 
-def new_subprocess_op(name: str, command: list[str], schema: str, started: str | None = None, progress: str | None = None, registry: Registry | None = None) -> Operation:
-    """An operation that gives each partition, as JSON lines, to a program and reads its JSON lines as rows of a schema.
-
-    A line of the program's standard error that matches `progress` is reported; a status other than zero fails the task.
+class _Reports(AccumulatorParam):
+    """What tasks say of their programs, (kind, work, message): passed on to the driver's monitor as each task ends, and kept nowhere."""
+
+    def __init__(self, monitor: Monitor | None = None) -> None:
+        self.monitor = monitor
+
+    def __getstate__(self) -> dict:
+        return {"monitor": None}  # tasks have none
+
+    def zero(self, value: list) -> list:
+        return []
+
+    def addInPlace(self, value1: list, value2: list) -> list:  # noqa: N802, N803
+        if self.monitor is None:
+            return value1 + value2
+        for kind, work, message in value2:
+            if kind == "started":
+                self.monitor.start(message or self.monitor.label, work or self.monitor.total)
+            elif kind == "progress":
+                self.monitor.progress(work, message)
+            else:
+                self.monitor.finish()
+        return []
+
+
+def _told(lines: Iterable[str], patterns: dict[str, str]) -> list[tuple[str, float | None, str | None]]:
+    """What lines that match the patterns say; the work of progress lines is summed and the last message stands for all."""
+    out: dict[str, list] = {}
+    for line in lines:
+        for kind, pattern in patterns.items():
+            m = re.search(pattern, line)
+            if m is None:
+                continue
+            named = m.groupdict()
+            work, message = named.get("total_work" if kind == "started" else "work"), named.get("label" if kind == "started" else "msg")
+            known = out.setdefault(kind, [None, None])
+            if work is not None:
+                known[0] = float(work) + (known[0] or 0.0 if kind == "progress" else 0.0)
+            known[1] = message or known[1]
+    return [(kind, *v) for kind, v in out.items()]
+
+
+def new_subprocess_op(
+    name: str, command: list[str], schema: str, started: str | None = None, progress: str | None = None, done: str | None = None, monitor: Monitor | None = None, registry: Registry | None = None, cwd: str | None = None, env: dict[str, str] | None = None
+) -> Operation:
+    """An operation that gives each batch of rows, as JSON lines, to a program and reads its JSON lines as rows of a schema.
+
+    Lines of the program's standard error are matched with patterns: started (groups label, total_work), progress (groups
+    work, msg) and done. What they say reaches the monitor as each task ends. A status other than zero fails the task.
     """
     import json
 
     import pandas as pd
 
+    patterns = {k: v for k, v in (("started", started), ("progress", progress), ("done", done)) if v}
+
     def run(df: DataFrame) -> DataFrame:
+        reports = df.sparkSession.sparkContext.accumulator([], _Reports(monitor)) if patterns and monitor is not None else None
+
         def each(frames: Any) -> Any:
             for frame in frames:
                 text = frame.to_json(orient="records", lines=True, date_format="iso")
-                done = subprocess.run(command, input=text, capture_output=True, text=True)
-                if done.returncode:
-                    raise RuntimeError(f"{command[0]} ended with status {done.returncode}: {done.stderr[-500:]}")
-                rows = [json.loads(x) for x in done.stdout.splitlines() if x.strip()]
+                ended = subprocess.run(command, input=text, capture_output=True, text=True, cwd=cwd, env=None if env is None else os.environ | env)
+                if ended.returncode:
+                    raise RuntimeError(f"{command[0]} ended with status {ended.returncode}: {ended.stderr[-500:]}")
+                if reports is not None:
+                    reports.add(_told(ended.stderr.splitlines(), patterns))
+                rows = [json.loads(x) for x in ended.stdout.splitlines() if x.strip()]
                 if rows:
                     yield pd.DataFrame(rows)
 

@@ -1,4 +1,5 @@
 import struct
+import sys
 from datetime import date, datetime
 
 import pytest
@@ -231,3 +232,33 @@ def test_vector_files_of_all_kinds(spark, tmp_path):
     one.write_text('<?xml version="1.0"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>' + "".join(f'<Placemark><name>n{k}</name><ExtendedData><Data name="v"><value>{k}</value></Data></ExtendedData><Point><coordinates>{k},2,0</coordinates></Point></Placemark>' for k in range(300)) + "</Document></kml>")
     got = vector.read_kml(spark, str(one))
     assert dict(got.dtypes)["v"] == "bigint" and {(r["Name"], r["v"], r["geometry"]["coords"][0]["x"]) for r in got.collect()} == {(f"n{k}", k, float(k)) for k in range(300)}
+
+
+def test_programs_report_their_progress(spark):
+    from cubeloom.op import Monitor
+
+    class Kept(Monitor):
+        said: list = []
+
+        def start(self, label, total_work):
+            super().start(label, total_work)
+            self.said.append(("start", label, total_work))
+
+        def progress(self, work=None, msg=None):
+            super().progress(work, msg)
+            self.said.append(("progress", work, msg))
+
+        def finish(self):
+            super().finish()
+            self.said.append(("finish",))
+
+    program = "import sys, os\nprint('begin twice of 4', file=sys.stderr)\nfor line in sys.stdin:\n  print(line, end='')\n  print('row done 1 in ' + os.environ['PLACE'], file=sys.stderr)\nprint('over', file=sys.stderr)"
+    monitor = Kept()
+    patterns = dict(started=r"begin (?P<label>\w+) of (?P<total_work>\d+)", progress=r"done (?P<work>\d+) in (?P<msg>\w+)", done="^over")
+    twice = chain.new_subprocess_op("rows", [sys.executable, "-c", program], "n long", monitor=monitor, env={"PLACE": "here"}, **patterns)
+    df = spark.range(8).withColumnRenamed("id", "n").repartition(2)
+    assert sorted(r["n"] for r in twice(df).collect()) == list(range(8))
+    assert monitor.said.count(("finish",)) == monitor.said.count(("start", "twice", 4.0)) >= 1
+    assert sum(w for k, w, *_ in (x for x in monitor.said if x[0] == "progress")) == 8 and all(x[2] == "here" for x in monitor.said if x[0] == "progress")
+    with pytest.raises(Exception, match="status 3"):
+        chain.new_subprocess_op("bad", [sys.executable, "-c", "import sys; sys.exit(3)"], "n long")(df).collect()
