@@ -6,8 +6,11 @@ the centroid. By Cauchy-Schwarz, no member of a list scores more than <q, c> + |
 
 A block of anchors visits lists by falling upper bound, each anchor in its own order, and stops when the bound is strictly
 below its k-th score: first for its positives, then for the negatives of all its positives' windows together. A list whose
-lower bound is above a window, or whose upper bound is below it, is skipped for that window. The search is exact; how
-well the centroids fit changes only what it reads.
+lower bound is above a window, or whose upper bound is below it, is skipped for that window. Anchors go on by rounds that
+double, and in a round all anchors that come to a list are scored with it by one product of matrices; of the scores only
+those between the k-th ones and the windows' upper ends are looked at. The search is exact; how well the centroids fit
+changes only what it reads. Where vectors spread in many directions the bounds hold back little, and the work is that of
+all pairs of anchors and rows, at the price of a multiplication of matrices.
 
 Of rows with one vector and label only the first ids can be among the first of any answer (ties go to smaller ids), so each
 such group keeps that many ids before vectors are moved; a vector that a third of all rows have is one short group.
@@ -31,7 +34,11 @@ from .search import NO_ID, Best, ball_of
 #: Rows for each list, lists of one length of vector at most, rows of the sample for each list, Lloyd's steps.
 LIST, MOST_LISTS, SAMPLE_OF_LIST, STEPS = 512, 4096, 4, 8
 #: Rows of a stored piece and anchors of a block (about); bytes of pieces that a task keeps.
-PIECE, BLOCK, KEPT = 4096, 256, 128_000_000
+PIECE, BLOCK, KEPT = 4096, 512, 128_000_000
+#: Anchors of a block at least, where more blocks would only share out few; columns scored at a time.
+FEW, WIDE = 64, 2048
+#: Whole components of vectors shorter than this multiply exactly in single precision: all sums stay below 2**24.
+SHORT = 4096.0
 FOUND = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
 
 
@@ -58,6 +65,11 @@ def centroids_of(rows: DataFrame, most: int) -> dict[int, np.ndarray]:
     return in_task(sample, fit)
 
 
+def is_short(x: np.ndarray) -> bool:
+    """Whether products of these vectors and others of this kind are exact in single precision."""
+    return bool((x == np.rint(x)).all() and ((x**2).sum(axis=1) < SHORT**2).all())
+
+
 def _write(folder: str, name: str, **arrays: np.ndarray) -> None:
     """A file that is whole when it has its name, the same from every attempt of a task."""
     out = io.BytesIO()
@@ -94,7 +106,7 @@ def inverted_lists(rows: DataFrame, centroids: dict[int, np.ndarray], folder: st
         n, at, part = (int(group[c].iloc[0]) for c in ("n", "list", "piece"))
         group = group.sort_values(["label", "id"], kind="stable")
         x = np.array(group["vector"].tolist(), float).reshape(len(group), n)
-        _write(folder, f"{n}-{at}-{part}", ids=group["id"].to_numpy(np.int64), labels=group["label"].to_numpy(np.int64), copies=group["copies"].to_numpy(np.int64), x=x)
+        _write(folder, f"{n}-{at}-{part}", ids=group["id"].to_numpy(np.int64), labels=group["label"].to_numpy(np.int64), copies=group["copies"].to_numpy(np.int64), x=x.astype(np.int16) if is_short(x) else x)
         radius = float(np.sqrt(((x - centre(n, at)) ** 2).sum(axis=1).max()))
         return pd.DataFrame({"n": [n], "list": [at], "piece": [part], "size": [len(group)], "radius": [radius]})
 
@@ -119,14 +131,18 @@ class Lists:
         self.centres, self.radius, self.list = index["centres"], index["radius"], index["list"]
         self._pieces, self._offsets, self._folder, self._n = index["pieces"], index["offsets"], folder, n
         self._held: OrderedDict[tuple[int, int], dict[str, np.ndarray]] = OrderedDict()
+        self._bytes = 0
 
     def pieces(self, at: int) -> Iterator[dict[str, np.ndarray]]:
         for p in self._pieces[self._offsets[at] : self._offsets[at + 1]].tolist():
             key = (at, p)
             if key not in self._held:
-                self._held[key] = _read(self._folder, f"{self._n}-{self.list[at]}-{p}")
-                while sum(x["x"].nbytes for x in self._held.values()) > KEPT and len(self._held) > 1:
-                    self._held.popitem(last=False)
+                self._held[key] = piece = _read(self._folder, f"{self._n}-{self.list[at]}-{p}")
+                if piece["x"].dtype == np.int16:
+                    piece["x"] = piece["x"].astype(np.float32)
+                self._bytes += sum(v.nbytes for v in piece.values())
+                while self._bytes > KEPT and len(self._held) > 1:
+                    self._bytes -= sum(v.nbytes for v in self._held.popitem(last=False)[1].values())
             self._held.move_to_end(key)
             yield self._held[key]
 
@@ -134,21 +150,39 @@ class Lists:
 def _visit(upper: np.ndarray, goes: Callable[[np.ndarray, np.ndarray], np.ndarray], look: Callable[[int, np.ndarray], None]) -> int:
     """Each row visits lists by falling upper bound, as long as goes(rows, lists) says so of its next list; look(list, rows) scores. Returns the visits.
 
-    goes gives 1 to visit, 0 to skip the list, -1 to stop. Rows that come to one list at a time are scored together."""
+    goes gives 1 to visit, 0 to skip the list, -1 to stop. Rows advance by rounds of 1, 2, 4, ... lists; those that come to one list in a round are scored together."""
     order = np.argsort(-upper, axis=1, kind="stable")
-    place, live, visits = np.zeros(len(upper), np.int64), np.arange(len(upper)), 0
-    while len(live := live[place[live] < order.shape[1]]):
-        at = order[live, place[live]]
-        what = goes(live, at)
-        place[live] += 1
-        for x in np.unique(at[what > 0]):
-            rows = live[(what > 0) & (at == x)]
-            look(int(x), rows)
-            visits += len(rows)
-        live = live[what >= 0]
+    live, visits, at, wide = np.arange(len(upper)), 0, 0, 1
+    while len(live) and at < order.shape[1]:
+        next_ = order[live, at : at + wide]
+        row, place = np.repeat(np.arange(len(live)), next_.shape[1]), np.tile(np.arange(next_.shape[1]), len(live))
+        by = np.lexsort((place, next_.ravel()))
+        lists, starts = np.unique(next_.ravel()[by], return_index=True)
+        members = np.split(row[by], starts[1:])
+        on = np.ones(len(live), bool)
+        for i in np.argsort(np.minimum.reduceat(place[by], starts), kind="stable"):  # near ones first
+            mine = members[i]
+            what = goes(live[mine], np.full(len(mine), lists[i]))
+            on[mine[what < 0]] = False  # further lists of the round have no higher bound and say the same
+            if (rows := live[mine[what > 0]]).size:
+                look(int(lists[i]), rows)
+                visits += len(rows)
+        live, at, wide = live[on], at + wide, 2 * wide
     return visits
 
 
+def merge(best: Best, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+    """Put scored ids (a row, a score and an id each) among the best of their rows."""
+    touched, row = np.unique(rows, return_inverse=True)
+    k = best.score.shape[1]
+    all_rows = np.concatenate((np.repeat(np.arange(len(touched)), k), row))
+    all_scores, all_ids = np.concatenate((best.score[touched].ravel(), score)), np.concatenate((best.id[touched].ravel(), ids))
+    order = np.lexsort((all_ids, -all_scores, all_rows))
+    first = np.searchsorted(all_rows[order], np.arange(len(touched)))
+    pick = order[first[:, None] + np.arange(k)]
+    best.score[touched], best.id[touched] = all_scores[pick], all_ids[pick]
+
+
 def search_block(lists: Lists, ids: np.ndarray, labels: np.ndarray, x: np.ndarray, positives: int, k: int, window: tuple[int, int]) -> tuple[Best, Best, tuple[int, int]]:
     """Of a block of anchors: the first positives of each, the first k negatives of each anchor and positive (in rows anchor by anchor), and the lists visited for both."""
     m, length = len(ids), np.sqrt((x**2).sum(axis=1))
@@ -157,15 +191,30 @@ def search_block(lists: Lists, ids: np.ndarray, labels: np.ndarray, x: np.ndarra
     upper, lower = middle + reach + pad, middle - reach - pad
     none = np.full(m, -np.inf)
     near = Best(m, positives, none)
+    x32 = x.astype(np.float32) if is_short(x) else None
+
+    def scored(p: dict[str, np.ndarray], rows: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
+        """Products of anchors and rows of a piece, in single precision where that is exact."""
+        other = p["x"][at]
+        return x32[rows] @ other.T if x32 is not None and other.dtype == np.float32 else x[rows] @ other.astype(float, copy=False).T
+
+    def put(best: Best, rows: np.ndarray, score: np.ndarray, p: dict[str, np.ndarray], columns: np.ndarray, most: int) -> None:
+        """Scores of rows of a piece, as often as there are copies, among the best of rows."""
+        if len(rows):
+            n = np.minimum(p["copies"][columns], most)
+            merge(best, np.repeat(rows, n), np.repeat(score, n), np.repeat(p["ids"][columns], n))
 
     def like(at: int, rows: np.ndarray) -> None:
         for p in lists.pieces(at):
-            score = x[rows] @ p["x"].T
-            score[(p["labels"] != labels[rows, None]) | (p["ids"] == ids[rows, None])] = -np.inf
-            some = np.nonzero((score > -np.inf).any(axis=0))[0]
-            each = np.repeat(some, np.minimum(p["copies"][some], positives))
-            if len(each):
-                near.add(rows, score[:, each], p["ids"][each])
+            for label in np.unique(labels[rows]):
+                own, same = rows[labels[rows] == label], np.nonzero(p["labels"] == label)[0]
+                for lo in range(0, len(same), WIDE):
+                    columns = same[lo : lo + WIDE]
+                    score = scored(p, own, columns)
+                    i, j = np.nonzero(score >= near.score[own, -1].astype(score.dtype)[:, None])
+                    other = p["ids"][columns[j]] != ids[own[i]]
+                    i, j = i[other], j[other]
+                    put(near, own[i], score[i, j].astype(float), p, columns[j], positives)
 
     first = _visit(upper, lambda rows, at: np.where(upper[rows, at] < near.score[rows, -1], -1, 1), like)
     # windows: from ceil(low * score / 100) to floor(high * score / 100); of a score below zero none
@@ -184,14 +233,18 @@ def search_block(lists: Lists, ids: np.ndarray, labels: np.ndarray, x: np.ndarra
 
     def unlike(at: int, rows: np.ndarray) -> None:
         for p in lists.pieces(at):
-            score = x[rows] @ p["x"].T
-            score[p["labels"] == labels[rows, None]] = -np.inf
-            for j in range(positives):
-                inside = np.where((score >= least[rows, j, None]) & (score <= most[rows, j, None]), score, -np.inf)
-                some = np.nonzero((inside > -np.inf).any(axis=0))[0]
-                each = np.repeat(some, np.minimum(p["copies"][some], k))
-                if len(each):
-                    far.add(rows * positives + j, inside[:, each], p["ids"][each])
+            for lo in range(0, len(p["ids"]), WIDE):
+                score = scored(p, rows, slice(lo, lo + WIDE))
+                kth = np.maximum(far.score.reshape(m, positives, k)[rows, :, -1], least[rows])
+                # the ends are whole, so they are exact in single precision as scores are
+                low, high = kth.min(axis=1).astype(score.dtype), most[rows].max(axis=1).astype(score.dtype)
+                i, j = np.nonzero((score >= low[:, None]) & (score <= high[:, None]))
+                other = p["labels"][lo + j] != labels[rows[i]]
+                i, j = i[other], j[other]
+                value, column = score[i, j].astype(float), lo + j
+                for w in range(positives):
+                    fit = (value >= kth[i, w]) & (value <= most[rows[i], w])
+                    put(far, rows[i[fit]] * positives + w, value[fit], p, column[fit], k)
 
     second = _visit(upper, goes, unlike)
     return near, far, (first, second)
@@ -219,7 +272,9 @@ def mine(anchors: DataFrame, rows: DataFrame, positives: int = 5, k: int = 10, w
     asked = anchors.where("vector IS NOT NULL AND label IS NOT NULL AND id IS NOT NULL").select("id", F.col("label").cast("long").alias("label"), "vector", F.size("vector").alias("n"))
     asked = asked.withColumn("list", ball_of(F.col("vector"), centroids)).withColumn("at", F.monotonically_increasing_id())
     asked = stored(asked, "anchors")
-    blocks = asked.repartitionByRange(max(1, -(-asked.count() // block)), "n", "list", "id", "at").sortWithinPartitions("n", "list", "id", "at").select("n", "id", "label", "vector")
+    n_asked = asked.count()
+    parts = max(1, -(-n_asked // block), min(spark.sparkContext.defaultParallelism, n_asked // FEW))
+    blocks = asked.repartitionByRange(parts, "n", "list", "id", "at").sortWithinPartitions("n", "list", "id", "at").select("n", "id", "label", "vector")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Lists | None = None

@@ -67,6 +67,39 @@ def test_bounds_skip_lists():
     assert first < 0.1 * len(anchors) * len(lists) and second < 0.5 * len(anchors) * len(lists)
 
 
+class Counted(Held):
+    """Lists that count how often they are read."""
+
+    reads = 0
+
+    def pieces(self, at):
+        self.reads += 1
+        return super().pieces(at)
+
+
+def test_anchors_of_a_block_share_products():
+    """Where bounds hold back little, a list is scored with all anchors of a round at once."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(-30, 31, (64, 40, 16)).astype(float)
+    lists = Counted([(v.mean(axis=0), np.arange(40) + 40 * k, rng.integers(0, 3, 40), v) for k, v in enumerate(x)])
+    rows = [(int(i), int(l), v.tolist()) for _, ids, labels, x in lists.lists for i, l, v in zip(ids, labels, x)]
+    anchors = rows[::20]
+    near, far, visits = negatives.search_block(lists, *(np.array(c) for c in zip(*anchors)), 5, 10, (30, 90))
+    a, r = np.nonzero(far.score > -np.inf)
+    got = sorted(((anchors[i // 5][0], int(near.id[i // 5, i % 5]), int(j) + 1, int(far.id[i, j]), int(near.score[i // 5, i % 5]), int(far.score[i, j])) for i, j in zip(a, r)), key=str)
+    assert got == brute(anchors, rows)
+    assert min(visits) > 0.3 * len(anchors) * 64 and lists.reads <= 2 * 64 * 7
+
+
+def test_long_vectors_are_exact(spark):
+    """Products beyond single precision, beside those within, and copies beyond what is kept."""
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 3, (rng.integers(-9, 10, 4) * (100_000 if i % 5 == 0 else 1) + 1).astype(float).tolist()) for i in range(300)] + [(400 + i, i % 2, [1.0, 2.0, 3.0, 4.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, label int, vector array<double>")
+    got = negatives.mine(df.where("id % 20 = 0"), df, per_list=40, piece=32)
+    assert sorted(map(tuple, got.collect()), key=str) == brute([r for r in rows if r[0] % 20 == 0], rows)
+
+
 def test_centroids():
     rng = np.random.default_rng(9)
     x = np.vstack([rng.normal(c, 0.1, (50, 3)) for c in (0, 10, 20)])
