@@ -15,25 +15,23 @@ BUCKETS = 256
 def nearest_steps(asked: DataFrame, steps: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """asked_time, nearest: of each distinct time asked for (column t), the nearest of the steps (column t), of two the earlier.
 
-    Times and steps are dealt to buckets at quantiles of both, so that none holds much more than its share. In a bucket the
-    last step before and the first after a time are carried along; at its ends, those of the nearest bucket that has one.
+    Times and steps are dealt to buckets by ranges of both, so that none holds much more than its share. In a bucket the
+    last step before and the first after a time are carried along, up and down; at its ends, those of the nearest bucket that has one.
     """
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     named = asked.where("t IS NOT NULL").distinct().select(micros("t").alias("m"), "t", F.lit(False).alias("step"))
     known = steps.where("t IS NOT NULL").distinct().select(micros("t").alias("m"), "t", F.lit(True).alias("step"))
-    both = stored(named.unionByName(known), "times")
-    cuts = both.agg(F.percentile_approx("m", [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0] or []
-    edges = F.array(*(F.lit(c) for c in sorted(set(cuts)))).cast("array<long>")
-    dealt = both.withColumn("bucket", F.size(F.filter(edges, lambda e: e <= F.col("m"))))
+    dealt = stored(named.unionByName(known).repartitionByRange(buckets, "m").withColumn("bucket", F.spark_partition_id()), "times")
     ends = dealt.where("step").groupBy("bucket").agg(F.min("m").alias("first"), F.max("m").alias("last"))
-    every = both.sparkSession.range(len(set(cuts)) + 1).select(F.col("id").cast("int").alias("bucket")).join(ends, "bucket", "left")
+    every = dealt.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(ends, "bucket", "left")
     before, after = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
     # over one row for each bucket
     carried = every.select("bucket", F.last("last", True).over(before).alias("earlier"), F.first("first", True).over(after).alias("later"))
-    own = Window.partitionBy("bucket").orderBy("m")
+    # both frames end at the current row: one that runs on to the last would be read anew for each row
+    up, down = (Window.partitionBy("bucket").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("m"), F.desc("m")))
     step = F.when(F.col("step"), F.col("m"))
     near = dealt.join(F.broadcast(carried), "bucket").select(
-        "t", "m", "step", F.coalesce(F.last(step, True).over(own), "earlier").alias("low"), F.coalesce(F.first(step, True).over(own.rangeBetween(Window.currentRow, Window.unboundedFollowing)), "later").alias("high")
+        "t", "m", "step", F.coalesce(F.last(step, True).over(up), "earlier").alias("low"), F.coalesce(F.last(step, True).over(down), "later").alias("high")
     )
     best = F.when(F.col("low").isNull() | (F.col("high") - F.col("m") < F.col("m") - F.col("low")), F.col("high")).otherwise(F.col("low"))
     return near.where("NOT step").select(F.col("t").alias("asked_time"), F.timestamp_micros(best).cast("timestamp_ntz").alias("nearest"))

@@ -78,12 +78,12 @@ def interpolate_time(ds: Cube, var: Any = None) -> Cube:
 
     names = VarNamesLike.pick(var, list(ds.vars))
     back = Window.partitionBy(*ds.others("time")).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*ds.others("time")).orderBy("time").rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*ds.others("time")).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)  # backwards: a frame to the end is read anew for each row
     at = F.unix_micros(F.col("time").cast("timestamp"))
     df = ds.df
     for v in names:
         known = F.when(F.col(v).isNotNull(), F.struct(at.alias("t"), F.col(v).alias("x")))
-        a, b = F.last(known, ignorenulls=True).over(back), F.first(known, ignorenulls=True).over(ahead)
+        a, b = F.last(known, ignorenulls=True).over(back), F.last(known, ignorenulls=True).over(ahead)
         share = (at - a["t"]) / F.nullif((b["t"] - a["t"]).cast("double"), F.lit(0.0))
         df = df.withColumn(v, F.coalesce(F.col(v), a["x"] + (b["x"] - a["x"]) * share))
     return ds.on(df.select(*ds.dims, *ds.vars))

@@ -72,3 +72,13 @@ def test_nearest_steps(spark, buckets):
     assert got == {t: min(steps, key=lambda s: (abs(s - t), s)) for t in asked}
     assert lookup.nearest_steps(frame([]), frame(steps)).count() == 0
     assert {r["nearest"] for r in lookup.nearest_steps(frame(asked), frame([])).collect()} == {None}
+
+
+def test_nearest_steps_read_each_time_once(spark):
+    """In a bucket no frame runs on to the last row, as that would read all further rows for each."""
+    at = lambda s: f"timestamp_ntz'2001-01-01' + make_interval(0, 0, 0, 0, 0, 0, {s})"
+    found = lookup.nearest_steps(spark.range(40_000).selectExpr(f"{at('id')} AS t"), spark.range(100).selectExpr(f"{at('id * 300')} AS t"), buckets=1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "rangeframe" in plan and "currentrow$(), unboundedfollowing" not in plan
+    late = found.selectExpr("unix_seconds(cast(asked_time AS timestamp)) - 978307200 AS a", "unix_seconds(cast(nearest AS timestamp)) - 978307200 AS b")
+    assert late.where("b <> least(29700, 300 * floor((a + 149) / 300))").count() == 0 and late.count() == 40_000
