@@ -4,7 +4,8 @@ The segments of each side are cut where those of the other meet them, and the mi
 side, on its boundary, or outside of it. What these say of both sides decides every test. Polygons are read by the even-odd
 rule over all their rings, so holes and several parts need nothing more; the boundary of lines are the points at which an
 odd number of them end. Ends within 1e-9 of a segment lie on it. Only what a test asks for is put into its plan, and boxes
-that do not meet are told apart first. Expressions are put together as SQL text, which Catalyst reads at once.
+that do not meet are told apart first, of sides and of segments. A row's segments, box and pieces are worked out once for a
+test, and no further piece is looked at when one has told. Expressions are put together as SQL text, which Catalyst reads at once.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from .geometry import Geometry
 
 NEAR = 1e-9
+#: Boxes further apart than this have no common point, by any rounding of what is near.
+APART = 1e-6
 SEGMENT = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
 POINTS = "array<struct<x:double,y:double>>"
 IN, ON, OUT = 1, 0, -1
@@ -69,6 +72,17 @@ class Shape:
         return _those(self.points, lambda p: f"size({_those(self.points, lambda q: f'{q}.x = {p}.x AND {q}.y = {p}.y')}) % 2 = 1")
 
 
+@dataclass
+class Line(Shape):
+    """A shape of lines whose boundary is worked out."""
+
+    known: str = ""
+
+    @property
+    def boundary(self) -> str:
+        return self.known
+
+
 def of_column(name: str, dim: int) -> Shape:
     """The shape of a geometry column (type, coords, ends of its parts but the last), where it has this dimension."""
     g = "`" + name.replace("`", "``") + "`"
@@ -84,6 +98,24 @@ def of_column(name: str, dim: int) -> Shape:
     return Shape(dim, points, segments, (f"array_min({xs})", f"array_min({ys})", f"array_max({xs})", f"array_max({ys})"))
 
 
+def settled(shape: Shape, body: Callable[[Shape], str]) -> str:
+    """What body makes of a shape whose points, segments and box are worked out once."""
+
+    def ends(v: str) -> str:
+        known = Shape(shape.dim, f"{v}.p", f"{v}.s", shape.box)
+        if shape.dim != 1:
+            return body(known)
+        return _let(lambda w: body(Line(1, known.points, known.segments, shape.box, f"{w}.b")), b=known.boundary)
+
+    return _let(ends, p=shape.points, s=shape.segments)
+
+
+def boxed(shape: Shape, body: Callable[[Shape], str]) -> str:
+    """What body makes of a shape whose box is worked out once."""
+    names = ("x0", "y0", "x1", "y1")
+    return _let(lambda v: body(Shape(shape.dim, shape.points, shape.segments, tuple(f"{v}.{n}" for n in names))), **dict(zip(names, shape.box)))
+
+
 def of_literal(g: Geometry) -> Shape:
     dim = 0 if "POINT" in g.kind else 1 if "LINE" in g.kind else 2
     edges = [(*a, *b) for r in g.parts for a, b in zip(r, r[1:]) if a != b] if dim else []
@@ -127,7 +159,10 @@ def _meetings(a: str, b: str) -> str:
         ends = _those(f"array({v}.along / {v}.rr, ({v}.along + {v}.further) / {v}.rr)", lambda t: near(t, e))
         return f"CASE WHEN abs({v}.cross) > 1e-14 * {v}.r * {v}.s THEN {one} WHEN abs({v}.u) <= {NEAR} * {v}.r THEN {ends} ELSE cast(array() AS array<double>) END"
 
-    return _let(measured, rx=f"{a}.x2 - {a}.x1", ry=f"{a}.y2 - {a}.y1", sx=f"{b}.x2 - {b}.x1", sy=f"{b}.y2 - {b}.y1", qx=f"{b}.x1 - {a}.x1", qy=f"{b}.y1 - {a}.y1")
+    least, most = (lambda s, c: f"least({s}.{c}1, {s}.{c}2)"), (lambda s, c: f"greatest({s}.{c}1, {s}.{c}2)")
+    apart = " OR ".join(f"{least(p, c)} > {most(q, c)} + {APART}D" for c in "xy" for p, q in ((a, b), (b, a)))
+    met = _let(measured, rx=f"{a}.x2 - {a}.x1", ry=f"{a}.y2 - {a}.y1", sx=f"{b}.x2 - {b}.x1", sy=f"{b}.y2 - {b}.y1", qx=f"{b}.x1 - {a}.x1", qy=f"{b}.y1 - {a}.y1")
+    return f"if({apart}, cast(array() AS array<double>), {met})"
 
 
 def _pieces(a: Shape, b: Shape) -> str:
@@ -148,19 +183,31 @@ def _pieces(a: Shape, b: Shape) -> str:
 class Pair:
     """What is to be known of two shapes; nothing is put together before it is asked for."""
 
-    def __init__(self, a: Shape, b: Shape) -> None:
-        self.a, self.b = a, b
-
-    def _sides(self, a: Shape, b: Shape) -> str:
-        return _each(a.points if a.dim == 0 else _pieces(a, b), lambda p: side(p, b))
+    def __init__(self, a: Shape, b: Shape, parts_a: str | None = None) -> None:
+        self.a, self.b, self._parts_a = a, b, parts_a
 
     @cached_property
-    def sides_a(self) -> str:
-        return self._sides(self.a, self.b)
+    def parts_a(self) -> str:
+        return self._parts_a or self._parts(self.a, self.b)
 
-    @cached_property
-    def sides_b(self) -> str:
-        return self._sides(self.b, self.a)
+    def _parts(self, a: Shape, b: Shape) -> str:
+        return a.points if a.dim == 0 else _pieces(a, b)
+
+    def cut(self, body: Callable[[Pair], str]) -> str:
+        """What body makes of the pair with the parts of a worked out once."""
+        return body(self) if self._parts_a or self.a.dim == 0 else _let(lambda v: body(Pair(self.a, self.b, f"{v}.p")), p=self.parts_a)
+
+    def some_a(self, told: str) -> str:
+        """Whether the side of b on which some part of a lies is told so."""
+        return _some(self.parts_a, lambda p: f"{side(p, self.b)} {told}")
+
+    def some_b(self, told: str) -> str:
+        return _some(self._parts(self.b, self.a), lambda p: f"{side(p, self.a)} {told}")
+
+    @property
+    def box_inside(self) -> str:
+        (x0, y0, x1, y1), (u0, v0, u1, v1) = self.a.box, self.b.box
+        return f"({x0} >= {u0} - {APART}D AND {y0} >= {v0} - {APART}D AND {x1} <= {u1} + {APART}D AND {y1} <= {v1} + {APART}D)"
 
     @property
     def boxes_meet(self) -> str:
@@ -171,7 +218,7 @@ class Pair:
     def meet(self) -> str:
         a, b = self.a, self.b
         if a.dim == 0 or b.dim == 0:
-            return _some(self.sides_a if a.dim == 0 else self.sides_b, lambda v: f"{v} >= {ON}")
+            return self.some_a(f">= {ON}") if a.dim == 0 else self.some_b(f">= {ON}")
         # without a common point of segments, or where one covers another, one side has a point of the other
         starts = lambda one, other: _some(_each(one.segments, lambda s: _struct(x=f"{s}.x1", y=f"{s}.y1")), lambda p: f"{side(p, other)} >= {ON}")
         touching = _some(a.segments, lambda s: _some(b.segments, lambda o: f"size({_meetings(s, o)}) > 0"))
@@ -191,36 +238,32 @@ class Pair:
         a, b = self.a, self.b
         both = lambda p: f"{side(p, a)} = {IN} AND {side(p, b)} = {IN}"
         beside = lambda m: _some("array(1e-5D, -1e-5D)", lambda k: _let(both, x=f"{m}.x - {k} * {m}.dy", y=f"{m}.y + {k} * {m}.dx"))
-        return _some(_pieces(a, b), lambda m: f"{side(m, b)} = {ON} AND {beside(m)}")
+        return _some(self.parts_a, lambda m: f"{side(m, b)} = {ON} AND {beside(m)}")
 
     @property
     def inside_meet(self) -> str:
         """Whether the insides have a point in common."""
         a, b = self.a.dim, self.b.dim
-        some = lambda sides: _some(sides, lambda v: f"{v} = {IN}")
+        told = f"= {IN}"
         if a == b == 1:
-            return f"({some(self.sides_a)} OR {self.crossing})"
+            return f"({self.some_a(told)} OR {self.crossing})"
         if a == b == 2:
-            return f"({some(self.sides_a)} OR {some(self.sides_b)} OR {self.shared_inside})"
-        return some(self.sides_a if a <= b else self.sides_b)
-
-
-def _outside(sides: str) -> str:
-    return _some(sides, lambda v: f"{v} = {OUT}")
+            return self.cut(lambda p: f"({p.some_a(told)} OR {p.some_b(told)} OR {p.shared_inside})")
+        return self.some_a(told) if a <= b else self.some_b(told)
 
 
 def within(p: Pair) -> str:
     if p.a.dim > p.b.dim:
         return "false"
-    further = f" AND NOT {_some(p.sides_b, lambda v: f'{v} = {IN}')}" if p.a.dim == 2 else ""
-    return f"(NOT {_outside(p.sides_a)}{further} AND {p.inside_meet})"
+    further = f" AND NOT {p.some_b(f'= {IN}')}" if p.a.dim == 2 else ""
+    return f"({p.box_inside} AND {p.cut(lambda q: f'NOT {q.some_a(f"= {OUT}")}{further} AND {q.inside_meet}')})"
 
 
 def crosses(p: Pair) -> str:
     a, b = p.a.dim, p.b.dim
     if a == b == 1:
-        return f"(NOT {_some(p.sides_a, lambda v: f'{v} >= {ON}')} AND {p.crossing})"
-    return "false" if a == b else f"({p.inside_meet} AND {_outside(p.sides_a if a < b else p.sides_b)})"
+        return f"(NOT {p.some_a(f'>= {ON}')} AND {p.crossing})"
+    return "false" if a == b else f"({p.inside_meet} AND {p.some_a(f'= {OUT}') if a < b else p.some_b(f'= {OUT}')})"
 
 
 TESTS: dict[str, Callable[[Pair], str]] = {
@@ -248,8 +291,9 @@ def test(name: str, column: str, region: Geometry) -> Column:
     other = of_literal(region)
 
     def one(dim: int) -> Column:
-        pair = Pair(of_column(column, dim), other)
-        return F.when(F.expr(pair.boxes_meet), F.expr(f"coalesce({TESTS[name](pair)}, false)")).otherwise(name == "disjoint")
+        told = lambda shape: settled(shape, lambda s: TESTS[name](Pair(s, other)))
+        found = boxed(of_column(column, dim), lambda s: f"CASE WHEN {Pair(s, other).boxes_meet} THEN coalesce({told(s)}, false) ELSE {'true' if name == 'disjoint' else 'false'} END")
+        return F.expr(found)
 
     g = F.col("`" + column.replace("`", "``") + "`")
     none = F.size(F.coalesce(g["coords"], F.array().cast(POINTS))) == 0

@@ -598,7 +598,9 @@ def _placed(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     x1, y1 = x0 + 10 * (1 + k % 13), y0 + 10 * (1 + k % 11)
     points = [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)] if kind == "Polygon" else [(x0, y0), (x1, y1)]
     coords = F.array(*(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in points))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.struct(F.lit(kind).alias("type"), coords.alias("coords"), F.lit(None).alias("ends")).cast(g.COLUMN).alias("geometry"))
+    # keys take few bytes and few splits, and shapes much time: all cores share them
+    keys = table(spark, sf_dir, "customer").select("c_custkey").repartition(4 * spark.sparkContext.defaultParallelism)
+    return keys.select("c_custkey", F.struct(F.lit(kind).alias("type"), coords.alias("coords"), F.lit(None).alias("ends")).cast(g.COLUMN).alias("geometry"))
 
 
 @query(f"SELECT c_custkey, {_MEET} AS intersects, NOT ({_MEET}) AS disjoint, x0 >= -50 AND x1 <= 50 AND y0 >= -40 AND y1 <= 40 AS within, x0 <= -50 AND x1 >= 50 AND y0 <= -40 AND y1 >= 40 AS contains, ({_MEET}) AND NOT ({_INNER}) AS touches, false AS crosses FROM {_RECT}")

@@ -142,3 +142,12 @@ def test_in_tables(spark):
     assert of(data_frame.query(df.limit(0), f"@crosses('{BOX}')")) == []
     with pytest.raises(ValueError):
         data_frame.query(df, "@crosses('POLYGON')")
+
+
+@pytest.mark.parametrize("name", sorted(shapes.TESTS))
+def test_segments_are_worked_out_once(spark, monkeypatch, name):
+    """The points of a row's segments are picked once for a test, not for each point or segment that they are held against."""
+    texts, expr = [], F.expr
+    monkeypatch.setattr(shapes.F, "expr", lambda text: texts.append(text) or expr(text))
+    shapes.test(name, "geometry", g.Geometry("POLYGON", [[(0, 0), (4, 0), (4, 4), (0, 0)]]))
+    assert texts and all(t.count("sequence(") <= 1 for t in texts)
