@@ -168,3 +168,28 @@ def test_texts_that_no_item_takes_have_the_label_of_their_place():
     page = lambda n, first="": f"<body><div class=top><p>Shop {n}</p></div>{first}<div class=z><a href=1>go {n}</a></div></body>"
     wrapper = html.infer([page(n) for n in range(4)])
     assert html.extract(page(9, "<div class=z><hr><a href=1>other</a></div><p>Text</p>"), wrapper) == "Shop 9\nText"
+
+
+def test_the_wrapper_comes_from_all_pages_of_a_host(spark):
+    def page(n):  # 20 kinds of pages; one page of each has no link in the place of the links
+        kind, own = chr(97 + n % 20), n // 20 == 4
+        more = f"more {n}" if own else f"<a href=1>more {n}</a>"
+        return f"<body><div class={kind}><h2>Story {n}</h2><p>Text {n}</p><div class=z>{more}</div></div></body>"
+
+    df = spark.createDataFrame([(n, f"http://h/{n}", page(n), "", "") for n in range(100)], SCHEMA)
+    for more in ((), (3,)):
+        got = {r["page_id"]: r["text"] for r in html.main_text(df, *more).collect()}
+        assert got == {n: f"Story {n}\nText {n}" for n in range(100)}
+
+
+def test_merged_wrappers_take_all_texts_but_those_of_rare_places(spark):
+    page = lambda n: f"<body><div id={chr(97 + n % 9)}{'rare' if n == 50 else ''}><h2>Story {n}</h2>{'<p>a</p>' * (n % 4)}{'<hr><ul><li>x<li>y</ul>' if n % 3 else ''}</div></body>"
+    df = spark.createDataFrame([(n, f"http://h/{n}", page(n), "", "h") for n in range(120)], SCHEMA)
+    streams = html.streams_of(html.parsed(df)).cache()
+    assert streams.agg({"n": "sum"}).first()[0] == 120
+    for at_once in (2, 5, 64):
+        ((wrapper,),) = html.wrappers(streams, at_once).select("wrapper").collect()
+        items = html.frozen(html.json.loads(wrapper))
+        for n in range(120):
+            assert any(s[0] == "~" for s in html.match(items, html.blocks(page(n))[1])) == (n == 50)
+    assert html.wrappers(streams.limit(0)).count() == 0
